@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 
 from .shared import chunks
 
-CACHE = 300_000
+CACHE = 150_000
 #: Bytes of text whose new pieces are replayed together: the more, the more places share a rank's step.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: The white space of Unicode, which \s stands for in the pattern.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 
@@ -79,7 +79,7 @@ class MergeReplay:
         n = len(token)
         if not n:
             return
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends[ends > 0] - 1] = -1
         before[np.concatenate([[0], ends])[:-1][np.diff(ends, prepend=0) > 0]] = -1
         index: dict[int, list[np.ndarray]] = {}
