@@ -40,6 +40,7 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 32 << 20
+MEMBER_STEP = 8 << 10
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:credence:arc")
 MANIFEST = "path string, n_records long"
 
@@ -70,10 +71,16 @@ def members(data: bytes) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data)
-        data = z.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut short")
+            parts.append(z.decompress(view[at : at + MEMBER_STEP]))
+            at += MEMBER_STEP
+        at = min(at, len(view)) - len(z.unused_data)
+        yield b"".join(parts)
 
 
 def arc_record(version: int, uri: str, date: str, status: str, block: bytes, ip: str = "0.0.0.0", kind: str = "text/html") -> bytes:
