@@ -1 +1 @@
-
+"""Queries over the state of a log."""
