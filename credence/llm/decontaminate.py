@@ -108,15 +108,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST) -> Da
                 for part in chunks(batch, "text", 4 << 20):
                     starts = offsets(part.column("text"))
                     hashes, begins = words(values(part.column("text")), starts)
-                    hits = block.hits(hashes)
-                    doc = np.searchsorted(begins, hits[:, 0], "right") - 1
-                    aligned = np.unique(np.stack([doc, hits[:, 1], hits[:, 0] - hits[:, 2] - begins[doc]], 1), axis=0)
                     best: dict[tuple[int, int], tuple] = {}
-                    for d, n, shift in aligned.tolist():
-                        item = block.items[n][1]
-                        a, b, equal = overlap(hashes[begins[d] : begins[d + 1]], item, shift)
-                        if counts_as_overlap(equal, len(item), least):
-                            best[d, n] = max(best.get((d, n), (0, 0, 0)), (equal, -(shift + a), b - a))
+                    for d, n, start, size, equal in found_in(hashes, begins, block, least):
+                        best[d, n] = max(best.get((d, n), (0, 0, 0)), (equal, -start, size))
                     if best:
                         ids = part.column("doc_id").take(pa.array([d for d, _ in best]))
                         own = pa.array([block.items[n][0] for _, n in best], pa.int64())
@@ -125,12 +119,55 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST) -> Da
 
         return texts.mapInArrow(run, schema)
 
-    out, items, held = None, [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():  # a block at a time
+    out = None
+    for block in blocks(benchmark):
+        out = one(block) if out is None else out.union(one(block))
+    return out
+
+
+def blocks(benchmark: DataFrame) -> Iterator[Block]:
+    """The benchmark in blocks of about BLOCK_WORDS words, read one at a time; at least one."""
+    items, held, none = [], 0, True
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         items.append((row["item_id"], text_words(row["text"])))
         held += len(items[-1][1])
         if held >= BLOCK_WORDS:
-            out, items, held = one(Block(items)) if out is None else out.union(one(Block(items))), [], 0
-    if items or out is None:
-        out = one(Block(items)) if out is None else out.union(one(Block(items)))
-    return out
+            yield Block(items)
+            items, held, none = [], 0, False
+    if items or none:
+        yield Block(items)
+
+
+def found_in(hashes: np.ndarray, begins: np.ndarray, block: Block, least: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, shift + first place, words, equal words) of every verified alignment."""
+    hits = block.hits(hashes)
+    doc = np.searchsorted(begins, hits[:, 0], "right") - 1
+    aligned = np.unique(np.stack([doc, hits[:, 1], hits[:, 0] - hits[:, 2] - begins[doc]], 1), axis=0)
+    for d, n, shift in aligned.tolist():
+        item = block.items[n][1]
+        a, b, equal = overlap(hashes[begins[d] : begins[d + 1]], item, shift)
+        if counts_as_overlap(equal, len(item), least):
+            yield d, n, shift + a, b - a, equal
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST) -> DataFrame:
+    """docs without the rows that hold a verified overlap; nothing is shuffled."""
+    spark = docs.sparkSession
+
+    def one(rows: DataFrame, block: Block) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(batch, "text", 4 << 20):
+                    column = part.column("text").fill_null("")
+                    hashes, begins = words(values(column), offsets(column))
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[d for d, *_ in found_in(hashes, begins, sent.value, least)]] = False
+                    yield part.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for block in blocks(benchmark):
+        docs = one(docs, block)
+    return docs

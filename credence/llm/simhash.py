@@ -107,9 +107,10 @@ def pairs_within(lists: pa.RecordBatch, masks: list[int], distance: int) -> tupl
     for k, s in {(int(k), int(s)) for k, s in zip(sizes, starts, strict=True)}:
         rows = np.flatnonzero((sizes == k) & (starts == s))
         i, j = np.triu_indices(k, 1)
-        for some in np.array_split(rows, max(1, len(rows) * len(i) >> 20)):
+        pieces = np.array_split(rows, max(1, len(rows) * len(i) >> 20))
+        for some, part in ((x, y) for x in pieces for y in np.array_split(np.arange(len(i)), max(1, len(i) >> 20))):
             grid = flat[at[some][:, None] + np.arange(k)]
-            a, b = grid[:, i].ravel(), grid[:, j].ravel()
+            a, b = grid[:, i[part]].ravel(), grid[:, j[part]].ravel()
             used = np.zeros(len(a), np.int64)
             for n in range(1, m + 1):
                 used += np.bitwise_count((a ^ b) & np.uint64(masks[(s + n - 1) % m]))
@@ -181,3 +182,46 @@ def groups(docs: DataFrame, *, shingle: int = 3, distance: int = 3, segments: in
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = cut(rooted.join(ids, "root").select("fp", "component_id"), "simhash-groups")
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def jaccard(a: str, b: str, n: int) -> float:
+    """Of the sets of n-word shingles, A-Z lower-cased; texts with fewer words are one shingle."""
+    x, y = ({b" ".join(s) for s in zip(*(w[i:] for i in range(n)), strict=False)} or {b" ".join(w)} for w in (a.encode().lower().split(), b.encode().lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def surplus(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, distance: int = 5, segments: int = 8, chain: int = 6) -> DataFrame:
+    """(doc_id, k) of documents that some other one stands for: k is the text's hash.
+
+    Fingerprints within `distance` make groups; the document with the smallest id stands for its group, and those whose
+    shingles of `words` words are similar to its own go. Texts of groups alone are joined, each with the one that stands.
+    """
+    found = cut(groups(docs, distance=distance, segments=segments, chain=chain).select("doc_id", "component_id"), "simhash-found")
+    held = found.where("doc_id <> component_id").select("component_id").distinct()
+    role = found.join(held, "component_id").where("doc_id IS NOT NULL").distinct()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    suspects = cut(texts.join(role, "doc_id"), "simhash-suspects")
+    stand = suspects.where("doc_id = component_id").groupBy("component_id").agg(F.min("text").alias("other"))
+    pairs = suspects.where("doc_id <> component_id").join(stand, "component_id").select("doc_id", "text", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [jaccard(a, b, words) >= similarity for a, b in zip(batch.column("text").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(near, pa.bool_())).select(["doc_id", "k"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return pairs.withColumn("k", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, k long").distinct()
+
+
+def dedup(docs: DataFrame, **how) -> DataFrame:
+    """docs without surplus documents; of rows that repeat id and text one stays. Rows with a null id stay."""
+    k = F.xxhash64(F.coalesce("text", F.lit("")))
+    gone = cut(surplus(docs, **how), "simhash-surplus").withColumnsRenamed({"doc_id": "__id", "k": "__k"})
+    left = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (k == F.col("__k")), "left_anti")
+    twice = cut(docs.where("doc_id IS NOT NULL").select("doc_id", k.alias("k")).groupBy("doc_id", "k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("k").alias("__k")), "simhash-repeats")
+    if twice.isEmpty():
+        return left
+    same = (F.col("doc_id") == F.col("__id")) & (k == F.col("__k"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.join(twice, same).select("__id", "__k", row.alias("row")).groupBy("__id", "__k").agg(F.first("row").alias("row"))
+    return left.join(twice, same, "left_anti").union(once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
