@@ -73,9 +73,10 @@ def event_rows(spark: SparkSession, events: list[tuple[str, dict]], topic: str,
 
 
 def append(log_rows: DataFrame, path: str) -> None:
-    """Append rows to a Parquet log. One driver writes a topic at a time; the commit of the write job is atomic."""
-    columns = [f.name for f in T.StructType.fromDDL(LOG)]
-    log_rows.select(*(F.col(c) for c in columns)).write.mode("append").partitionBy("topic").parquet(path)
+    """Append rows to a Parquet log; columns that they lack are null. One driver writes a topic at a time; the commit of the write job is atomic."""
+    have, fields = set(log_rows.columns), T.StructType.fromDDL(LOG)
+    rows = log_rows.select(*((F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+    rows.write.mode("append").partitionBy("topic").parquet(path)
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
