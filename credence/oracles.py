@@ -117,7 +117,7 @@ ORACLES: dict[str, str] = {
     "get_claim": EVENTS + "SELECT 'clm_' || user_id AS claim_id, status AS epistemic_status, score AS confidence_score FROM final WHERE user_id = 7",
     "show_claim": PARTS + "SELECT c.claim_id, coalesce(e.n, 0) AS n_evidence, (SELECT count(DISTINCT CASE WHEN l.claim_a = c.claim_id THEN l.claim_b ELSE l.claim_a END) FROM links l WHERE c.claim_id IN (l.claim_a, l.claim_b)) AS n_conflicts, CAST(0 AS BIGINT) AS n_revisions, e.f AS first_evidence FROM claims c LEFT JOIN (SELECT claim_id, count(*) AS n, min(evidence_id) AS f FROM evidence GROUP BY 1) e USING (claim_id)",
     "conflict_neighbours": PARTS + "SELECT claim_a AS claim_id, claim_b AS other FROM links UNION SELECT claim_b, claim_a FROM links",
-    "status_counts": PARTS + f"SELECT status, list_position({_list(STATUSES)}, status) AS rank, count(*) AS n FROM claims GROUP BY status",
+    "status_counts": PARTS + f"SELECT status, CAST(list_position({_list(STATUSES)}, status) AS BIGINT) AS rank, count(*) AS n FROM claims GROUP BY status",
     "corpus_totals": PARTS + "SELECT (SELECT count(*) FROM claims) AS claims, (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM sources WHERE discredited) AS discredited, (SELECT count(*) FROM threads) AS threads, (SELECT count(*) FROM threads WHERE status = 'open') AS open_threads",
     "report_believed": PARTS + "SELECT claim_id, status AS epistemic_status, score AS confidence_score, '[' || rpad(status, 11, ' ') || ' ' || format('{:.2f}', score) || '] ' || subj || ' - ' || pred || ' - ' || obj AS line FROM claims WHERE status IN ('probable', 'corroborated', 'confirmed')",
     "report_health": PARTS + "SELECT severity AS kind, count(*) AS n FROM (" + " UNION ALL ".join(_LINT.values()) + ") GROUP BY 1 UNION ALL SELECT 'review', count(*) FROM (" + " UNION ALL ".join(_QUEUE.values()) + ")",

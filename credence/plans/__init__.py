@@ -35,6 +35,17 @@ class State:
     def __init__(self, log: DataFrame, as_of: Column | None = None):
         self.log = log if as_of is None else log.where(F.col("t_created") <= as_of)
 
+    def shared(self) -> State:
+        """A state of the same log whose tables are folded once and kept, in memory or else on disk, for many rules over them."""
+        other = State(self.log)
+        for name in ("claims", "sources", "evidence", "edges", "threads"):
+            setattr(other, name, getattr(other, name).persist())
+        return other
+
+    def release(self) -> None:
+        for name in ("claims", "sources", "evidence", "edges", "threads"):
+            getattr(self, name).unpersist()
+
     def only(self, *events: str) -> DataFrame:
         return self.log.where(F.col("event").isin(*events))
 

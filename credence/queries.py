@@ -97,7 +97,7 @@ def report_believed(spark, sf_dir):
 
 
 def report_health(spark, sf_dir):
-    return report.health(star.parts(spark, sf_dir))
+    return report.health(star.parts(spark, sf_dir).shared())
 
 
 def promotion_check(spark, sf_dir):
