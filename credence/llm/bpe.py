@@ -147,11 +147,21 @@ def plain(text: str) -> bool:
     return text.isascii() and " \x0b" not in text and " \x0c" not in text or not any(c in text and " " + c in text for c in SPACES)
 
 
+#: Punctuation that can only continue a run of itself after letters.
+MARKS = ".,;:!?%#&$*()-\""
+
+
 class Units:
-    """Encodes texts by way of a cache of space-led units. encode: texts, each split on its own -> little-endian ids of each."""
+    """Encodes texts by way of a cache of space-led units. encode: texts, each split on its own -> little-endian ids of each.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], size: int = CACHE):
-        self.encode, self.size, self.cache = encode, size, {}
+    With words > 0, a new unit of letters and then marks, which are two matches of the pattern, is put together from the
+    ids of both; as many encoded words are kept. Letters are those up to U+024F, which all Unicode versions agree on.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], size: int = CACHE, words: int = 0):
+        self.encode, self.size, self.words = encode, size, words
+        self.cache: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # words with a space in front, and marks without
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > self.size:
@@ -159,12 +169,32 @@ class Units:
         split = [text.split(" ") if plain(text) else None for text in texts]
         new = set().union(*(u[1:] for u in split if u)) - self.cache.keys()
         own = [u[0] if u else text for u, text in zip(split, texts, strict=True)]  # the first unit, or a whole text
+        if self.words:
+            new = self.composed(new)
         order = list(new)
         done = self.encode([*(" " + u for u in order), *own])
         self.cache.update(zip(order, done, strict=False))
         get = self.cache.__getitem__
         return [first + b"".join(map(get, u[1:])) if u else first for u, first in zip(split, done[len(order) :], strict=True)]
 
+    def composed(self, units: set[str]) -> list[str]:
+        """Enter the units of letters and marks into the cache; returns the others."""
+        if len(self.known) > self.words:
+            self.known.clear()
+        other, parts = [], []
+        for u in units:
+            w = u.rstrip(MARKS)
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250"):
+                parts.append((u, w))
+            else:
+                other.append(u)
+        known = self.known
+        words = list({w for _, w in parts} - known.keys())
+        marks = list({u[len(w) :] for u, w in parts} - known.keys())
+        known.update(zip(words + marks, self.encode([*(" " + w for w in words), *marks]), strict=True))
+        self.cache.update((u, known[w] + known[u[len(w) :]]) for u, w in parts)
+        return other
+
 
 def replay_encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
     """texts -> ids as little-endian unsigned 32-bit integers."""
@@ -187,12 +217,12 @@ def replay_encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]
 _worker: dict = {}
 
 
-def worker_units(kind: Callable[..., Callable], *args) -> Units:
+def worker_units(kind: Callable[..., Callable], *args, size: int = CACHE, words: int = 0) -> Units:
     """One encoder with its cache for each Python worker, kept from task to task."""
-    key = (kind.__name__, *args)
+    key = (kind.__name__, size, words, *args)
     if key not in _worker:
         _worker.clear()
-        _worker[key] = Units(kind(*args))
+        _worker[key] = Units(kind(*args), size, words)
     return _worker[key]
 
 
@@ -209,19 +239,38 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
+def decoder(path: str) -> Callable[[bytes], bytes]:
+    """ids as little-endian unsigned 32-bit integers -> the bytes that they stand for."""
+    ranks = load_ranks(path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return lambda ids: b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of encode() with one more column, decoded: the bytes that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(path)
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        get = tokens.__getitem__
+        back = decoder(path)
         for batch in batches:
-            for part in chunks(batch, "ids", 4 << 20):
-                out = [b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in part.column("ids").to_pylist()]
+            for part in chunks(batch, "ids", BLOCK_BYTES):
+                out = [back(x) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{kinds}, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """decode(encode(docs)) in one pass: (doc_id, n_tokens, ids, decoded). Half as many Python workers hold memory at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, back = worker_units(replay_encoder, path, pattern), decoder(path)
+        for batch in batches:
+            for part in chunks(batch, "text", BLOCK_BYTES):
+                ids = units([t or "" for t in part.column("text").to_pylist()])
+                columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(back, ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")

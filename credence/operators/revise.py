@@ -5,7 +5,7 @@ The caller appends them with sources.append; nothing here writes. Commands that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -37,8 +37,9 @@ class Command:
     def flags(self, found: DataFrame, after: int) -> DataFrame:
         """status_changed rows for (claim_id, from, reason, level), numbered behind `after` events by level and id."""
         template = self.rows(("seed_marker", {}))
-        n = F.row_number().over(Window.orderBy("level", "claim_id"))  # the flags of one command
-        rows = found.select((n + F.lit(self.next_seq + after - 1)).cast("long").alias("seq"), "claim_id", "from", F.lit("needs_review").alias("to"), "reason")
+        # sorted by ranges, so these numbers ascend over the partitions; gaps don't matter to seq
+        ordered = found.orderBy("level", "claim_id").withColumn("n", F.monotonically_increasing_id())
+        rows = ordered.select((F.col("n") + F.lit(self.next_seq + after)).alias("seq"), "claim_id", "from", F.lit("needs_review").alias("to"), "reason")
         stamp = F.current_timestamp()
         rows = rows.withColumns({"v": F.lit(1), "event": F.lit("status_changed"), "topic": F.lit(self.topic), "t_created": stamp, "agent_run": F.lit(self.run).cast("string")})
         rows = rows.withColumn("event_id", F.concat(F.lit("evt_"), fn.hash16(F.to_json(F.struct("event", "topic", "t_created", "claim_id", "from", "to", "reason")))))
