@@ -32,6 +32,7 @@ CONTAINMENT = 0.8
 BANDS = 32
 BLOCKS = 5
 MAX_TEMPLATE_BYTES = 16 << 20
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 #: Opening or notice texts of well-known licenses.
 TEMPLATES = {
@@ -54,18 +55,21 @@ class Class:
     def __init__(self, size: int, members: list[tuple[str, np.ndarray]]):
         self.step, self.members = max(1, -(-size // 4)), members
         self.blocks = BLOCKS if self.step > 1 else size
-        low = [np.array([signature(s, b).min() for b in range(BANDS)]) for _, s in members]
-        self.bands = [sorted_lookup(np.array([x[b] for x in low])) for b in range(BANDS)]
+        low = np.array([[signature(s, b).min() for _, s in members] for b in range(BANDS)])
+        self.order = np.argsort(low, axis=1, kind="stable")
+        self.known = np.take_along_axis(low, self.order, axis=1)
+        self.filter = np.zeros((BANDS, 1 << 16), bool)  # by the low 16 bits, so that few windows are looked up
+        for b in range(BANDS):
+            self.filter[b, (low[b] & np.uint64(0xFFFF)).astype(np.int64)] = True
 
 
-def sorted_lookup(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(x, kind="stable")
-    return x[order], order
+def multiplier(band: int) -> np.uint64:
+    return np.uint64((2 * band + 3) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
 def signature(s: np.ndarray, band: int) -> np.ndarray:
     """The band's hash of each shingle."""
-    return s * np.uint64((2 * band + 3) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    return s * multiplier(band)
 
 
 def template_shingles(text: str, shortest: int = 1) -> np.ndarray:
@@ -86,21 +90,6 @@ def classes(templates: dict[str, str]) -> dict[int, list[Class]]:
     return out
 
 
-def candidates(own: Class, lows: list[np.ndarray], at: np.ndarray) -> set[tuple[int, int]]:
-    """(window, member) that share a band. lows: minima over blocks for each band; at: the last block of each block's text."""
-    found: set[tuple[int, int]] = set()
-    for band, low in enumerate(lows):
-        window = low.copy()
-        for i in range(1, own.blocks):
-            ahead = np.minimum(np.arange(len(low)) + i, at)
-            window = np.minimum(window, low[ahead])
-        known, order = own.bands[band]
-        a, b = np.searchsorted(known, window, "left"), np.searchsorted(known, window, "right")
-        for i in np.flatnonzero(b > a).tolist():
-            found.update((i, int(m)) for m in order[a[i] : b[i]])
-    return found
-
-
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, license, containment, start_word) of every document row and template that it holds: the best window, the first of equal ones."""
     size = sum(len(k) + len(v) for k, v in templates.items())
@@ -131,27 +120,56 @@ def search(hashes: np.ndarray, begins: np.ndarray, n: int, own: list[Class], bes
     full = np.flatnonzero(ends > begins[:-1])
     if not len(full):
         return
-    plans = []
-    for c in own:
-        first = [np.arange(begins[d], ends[d], c.step) for d in full.tolist()]
-        count = np.array([len(x) for x in first])
-        edges = np.concatenate(first)
-        text = np.repeat(full, count)
-        plans.append((c, edges, np.minimum(edges + c.step, ends[text]), text, np.repeat(np.cumsum(count) - 1, count), []))
+    plans = [Plan(c, begins, ends, full) for c in own]
+    x = np.full(len(s) + 1, _MOST, np.uint64)
     for band in range(BANDS):
-        x = signature(s, band)
-        for _, edges, stops, _, _, lows in plans:
-            # reduceat runs from one edge to the next: shingles across the end of a text are masked by the stops between
-            both = np.stack([edges, stops], 1).ravel()
-            lows.append(np.minimum.reduceat(np.append(x, np.uint64(0xFFFFFFFFFFFFFFFF)), both)[::2])
-    for c, edges, stops, text, last, lows in plans:
-        for i, m in candidates(c, lows, last):
-            name, wanted = c.members[m]
-            end = min(i + c.blocks - 1, int(last[i]))
-            held = s[edges[i] : stops[end]]
+        np.multiply(s, multiplier(band), out=x[:-1])
+        for plan in plans:
+            plan.look_up(x, band)
+    for plan in plans:
+        for i, m in plan.found:
+            name, wanted = plan.own.members[m]
+            end = min(i + plan.own.blocks - 1, int(plan.last[i]))
+            held = s[plan.edges[i] : plan.stops[end]]
             inside = np.isin(held, wanted)
             share = len(np.unique(held[inside])) / len(wanted)
             if share >= CONTAINMENT:
-                d = int(text[i])
-                start = int(edges[i] + np.flatnonzero(inside)[0] - begins[d])
+                d = int(plan.text[i])
+                start = int(plan.edges[i] + np.flatnonzero(inside)[0] - begins[d])
                 best[d, name] = max(best.get((d, name), (0.0, 0)), (share, -start))
+
+
+class Plan:
+    """The blocks and windows of a class over some texts."""
+
+    def __init__(self, own: Class, begins: np.ndarray, ends: np.ndarray, full: np.ndarray):
+        first = [np.arange(begins[d], ends[d], own.step) for d in full.tolist()]
+        count = np.array([len(x) for x in first])
+        self.own, self.found = own, set()
+        self.edges, self.text = np.concatenate(first), np.repeat(full, count)
+        self.stops = np.minimum(self.edges + own.step, ends[self.text])
+        self.last = np.repeat(np.cumsum(count) - 1, count)  # the last block of each block's text
+        # reduceat runs from one place to the next: what lies between a text's last block and the next text is dropped
+        self.both = np.stack([self.edges, self.stops], 1).ravel()
+        # blocks of different texts lie so far apart that no window holds both
+        self.slot = np.arange(len(self.edges)) + np.repeat(np.arange(len(full)) * (own.blocks - 1), count)
+        self.laid = np.full(int(self.slot[-1]) + own.blocks, _MOST, np.uint64)
+        self.block = np.full(len(self.laid), -1)
+        self.block[self.slot] = np.arange(len(self.slot))
+
+    def look_up(self, x: np.ndarray, band: int) -> None:
+        """Enter (first block, member) of windows whose minimum in the band is that of a template."""
+        own, laid = self.own, self.laid
+        laid[self.slot] = x[self.edges] if own.step == 1 else np.minimum.reduceat(x, self.both)[::2]
+        window = laid
+        if own.blocks > 1:
+            window = np.minimum(laid[:-1], laid[1:])
+            for i in range(2, own.blocks):
+                window = np.minimum(window[:-1], laid[i:])
+        at = np.flatnonzero(own.filter[band][window.view("<u2")[::4]])
+        known = own.known[band]
+        a, b = np.searchsorted(known, window[at], "left"), np.searchsorted(known, window[at], "right")
+        for i in np.flatnonzero(b > a).tolist():
+            block = int(self.block[at[i]])
+            if block >= 0:
+                self.found.update((block, int(m)) for m in own.order[band][a[i] : b[i]])
