@@ -69,10 +69,10 @@ def similar(strings: DataFrame, threshold: float) -> DataFrame:
     return scored.groupBy("a", "b").agg(F.first("sim").alias("sim"))
 
 
-def both_ways(pairs: DataFrame, strings: DataFrame, threshold: float) -> DataFrame:
+def both_ways(pairs: DataFrame, strings: DataFrame) -> DataFrame:
     """(x, y, sim) in both orders, every string being similar to itself."""
     same = strings.select(F.col("n").alias("x"), F.col("n").alias("y"), F.lit(1.0).alias("sim")).distinct()
-    return pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "sim").union(pairs.select("b", "a", "sim")).union(same) if threshold <= 1 else same
+    return pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "sim").union(pairs.select("b", "a", "sim")).union(same)
 
 
 def fuzzy(state: State, threshold: float | None = None) -> DataFrame:
@@ -80,8 +80,8 @@ def fuzzy(state: State, threshold: float | None = None) -> DataFrame:
     subject, predicate = (SUBJECT_SIMILARITY, PREDICATE_SIMILARITY) if threshold is None else (threshold, threshold)
     c = live(state)
     s, p = c.select(F.col("s").alias("n")), c.select(F.col("p").alias("n"))
-    near_s = both_ways(similar(s, subject), s, subject).withColumnsRenamed({"x": "s", "y": "s2", "sim": "subj_sim"})
-    near_p = both_ways(similar(p, predicate), p, predicate).withColumnsRenamed({"x": "p", "y": "p2", "sim": "pred_sim"})
+    near_s = both_ways(similar(s, subject), s).withColumnsRenamed({"x": "s", "y": "s2", "sim": "subj_sim"})
+    near_p = both_ways(similar(p, predicate), p).withColumnsRenamed({"x": "p", "y": "p2", "sim": "pred_sim"})
     other = c.withColumnsRenamed({x: f"{x}2" for x in c.columns})
     pairs = c.join(near_s, "s").join(near_p, "p").join(other, ["s2", "p2"]).where("created_seq < created_seq2 AND NOT (s = s2 AND p = p2)")
     osim = fn.similarity(F.col("o"), fn.token_set(F.col("o")), F.col("o2"), fn.token_set(F.col("o2")))
