@@ -12,6 +12,7 @@ from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import functions as fn
 from .plans import State
@@ -27,9 +28,14 @@ def pick(values: list[str], i: Column) -> Column:
 
 
 def log_of(spark: SparkSession, *frames: DataFrame) -> DataFrame:
-    """One log of frames that hold some of its columns each."""
-    empty = spark.createDataFrame([], LOG)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames, empty)
+    """One log of frames that hold some of its columns each; the others are null."""
+    fields = T.StructType.fromDDL(LOG)
+
+    def whole(df: DataFrame) -> DataFrame:
+        have = set(df.columns)
+        return df.select(*((F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+    return reduce(DataFrame.union, map(whole, frames)) if frames else spark.createDataFrame([], fields)
 
 
 def part_claims(part: DataFrame) -> DataFrame:
