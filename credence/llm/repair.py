@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,14 +31,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import BLOCK_BYTES, worker_units
-from .shared import chunks, cut, new_path, read_bytes, write_bytes
+from .shared import chunks, cut, give_back, new_path, read_bytes, write_bytes
 
 MAGIC = b"RPG1"
 #: Ids of a shard, about; bounds a task's memory.
 SHARD_IDS = 3_000_000
 #: Bytes of table files for each task that writes shards.
 TASK_BYTES = 12 << 20
+MAX_PARTS = 100_000
 NULL_ID = -(1 << 63)
+#: Encoded units and words that a Python worker keeps.
+UNITS, WORDS = 400_000, 700_000
 MANIFEST = "part int, place int, path string, n_docs long, n_ids long"
 
 
@@ -50,12 +54,12 @@ def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     own.encode_special_tokens = True
 
     def encode(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in own.encode_batch_fast(texts, add_special_tokens=False)]
 
     return encode
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, base: int, *, least: int = 96, most: int = (1 << 16) - 1, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, starts: np.ndarray, base: int, *, least: int = 96, most: int = (1 << 16) - 1, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over documents that begin at starts: (symbols, starts among the symbols, rules). Rule r makes symbol base + r.
 
     Each round counts all pairs, takes the most frequent ones whose left and right ids are not taken on the other side by
@@ -122,17 +126,26 @@ def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out[:-1]
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    seq = symbols.astype(np.int64)
-    while (big := seq >= base).any():
-        at = np.cumsum(1 + big) - (1 + big)
-        out = np.empty(int(at[-1] + 1 + big[-1]), np.int64)
-        two = rules[seq[big] - base]
-        out[at[~big]] = seq[~big]
-        out[at[big]], out[at[big] + 1] = two[:, 0], two[:, 1]
-        seq = out
-    return seq
+class Expansions:
+    """What every symbol stands for, laid out one after another."""
+
+    def __init__(self, rules: np.ndarray, base: int):
+        self.size = np.concatenate([np.ones(base, np.int64), lengths(rules, base)])
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.ids = np.empty(int(self.size.sum()), np.uint32)
+        self.ids[:base] = np.arange(base)
+        for r, (a, b) in enumerate(rules.tolist()):
+            at, n, m = self.start[base + r], self.size[a], self.size[b]
+            self.ids[at : at + n] = self.ids[self.start[a] : self.start[a] + n]
+            self.ids[at + n : at + n + m] = self.ids[self.start[b] : self.start[b] + m]
+
+    def __call__(self, symbols: np.ndarray) -> np.ndarray:
+        size = self.size[symbols]
+        if not len(size):
+            return np.zeros(0, np.uint32)
+        shift = self.start[symbols]
+        shift[1:] -= np.cumsum(size[:-1])
+        return self.ids[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
 
 def pack(doc_ids: np.ndarray, ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
@@ -163,9 +176,10 @@ class Shard:
         self.rules = take("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
         self.lengths = take("<u4", rules).astype(np.int64)
         self.symbols = take(f"<u{width}", symbols)
+        self.expand = Expansions(self.rules, self.base)
 
     def document(self, n: int) -> np.ndarray:
-        return expand(self.symbols[self.starts[n] : self.starts[n + 1]], self.rules, self.base)
+        return self.expand(self.symbols[self.starts[n] : self.starts[n + 1]])
 
     def slice(self, n: int, start: int, end: int) -> np.ndarray:
         """Ids start:end of document n; only the symbols that reach into the range are expanded."""
@@ -175,19 +189,19 @@ class Shard:
         ends = np.cumsum(size)
         a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, end, "left")) + 1
         first = int(ends[a - 1]) if a else 0
-        return expand(own[a:b], self.rules, self.base)[start - first : end - first]
+        return self.expand(own[a:b])[start - first : end - first]
 
 
 def write(docs: DataFrame, path: str, folder: str, *, end_id: int = 0) -> DataFrame:
     """Write docs(doc_id, text) as shards in ascending doc_id order; returns the manifest, whose (part, place) is the order of the shards."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    ordered = docs.select("doc_id", "text").repartitionByRange(max(1, min(100_000, size // TASK_BYTES)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    ordered = docs.select("doc_id", "text").repartitionByRange(max(1, min(MAX_PARTS, size // TASK_BYTES)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        units, base = worker_units(library_encoder, path), max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
+        units, base = worker_units(library_encoder, path, size=UNITS, words=WORDS), max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
         place, n, doc_ids, ids, end = 0, 0, [], [], np.array([end_id], "<u4").tobytes()
 
         def close():
@@ -207,14 +221,19 @@ def write(docs: DataFrame, path: str, folder: str, *, end_id: int = 0) -> DataFr
                         place, n, doc_ids, ids = place + 1, 0, [], []
         if ids:
             yield close()
+        doc_ids, ids = [], []
+        give_back()
 
     return ordered.mapInArrow(run, MANIFEST)
 
 
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, ids) of every document of the shards; start: the ids of all documents before it."""
-    first = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    work = manifest.select("path", first.alias("first"))  # a row for each shard of some millions of ids
+    # sums before each part (write() makes at most MAX_PARTS), and before each shard within its part
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", before(Window.orderBy("part")).alias("base"))
+    shards = manifest.select("part", "path", F.col("n_ids").alias("n"), "place").withColumn("own", before(Window.partitionBy("part").orderBy("place")))
+    work = shards.join(parts, "part").select("path", (F.col("base") + F.col("own")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +241,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 shard = Shard(read_bytes(row["path"]))
                 for a in range(0, len(shard.doc_ids), 500):
                     b = min(a + 500, len(shard.doc_ids))
-                    ids = expand(shard.symbols[shard.starts[a] : shard.starts[b]], shard.rules, shard.base).astype("<u4")
+                    ids = shard.expand(shard.symbols[shard.starts[a] : shard.starts[b]]).astype("<u4", copy=False)
                     cuts = shard.id_starts[a : b + 1] - shard.id_starts[a]
                     docs = [None if x == NULL_ID else x for x in shard.doc_ids[a:b].tolist()]
                     texts = [ids[i:j].tobytes() for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
