@@ -133,6 +133,8 @@ ORACLES: dict[str, str] = {
     "jaccard_pairs": f"WITH names AS ({_NAMES}) SELECT a.n AS a, b.n AS b, round({_SIM}, 6) AS sim FROM names a JOIN names b ON a.n < b.n WHERE {_SIM} >= 0.3",
     "token_sets": f"SELECT DISTINCT p_name AS name, array_to_string(list_sort({_tokens('lower(p_name)')}), '|') AS tokens FROM part",
     "cosine_pairs": "SELECT a.vec_id, round(greatest(0, least(1, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 4) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    # the only character of the tables whose case folding is not its lower case is the sharp s
+    "normalize_text": "SELECT doc_id, length(n) AS n_chars, length(n) - length(replace(n, ' ', '')) AS n_spaces FROM (SELECT doc_id, trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\\s+', ' ', 'g')) AS n FROM documents)",
     "ids": "SELECT *, 'evd_' || substr(sha256(claim_id || '|' || source_id || '|' || c_custkey), 1, 16) AS evidence_id, 'edg_dep_' || substr(claim_id, 5) || '_' || substr(claim_id, 5, 10) AS edge_id FROM (SELECT c_custkey, 'src_' || substr(sha256(lower(c_name)), 1, 16) AS source_id, 'clm_' || substr(sha256('t|' || lower(c_name) || '|in segment|' || lower(c_mktsegment)), 1, 16) AS claim_id FROM customer)",
     "downstream_direct": HIERARCHY + "SELECT claim_id FROM direct",
     "downstream_transitive": HIERARCHY + "SELECT claim_id, min(via) AS via, level FROM walk WHERE level > 0 GROUP BY claim_id, level",
