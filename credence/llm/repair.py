@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import BLOCK_BYTES, worker_units
+from .bpe import Units
 from .shared import chunks, cut, give_back, new_path, read_bytes, write_bytes
+from .tiles import Tiles
 
 MAGIC = b"RPG1"
 #: Ids of a shard, about; bounds a task's memory.
@@ -40,8 +41,8 @@ SHARD_IDS = 3_000_000
 TASK_BYTES = 12 << 20
 MAX_PARTS = 100_000
 NULL_ID = -(1 << 63)
-#: Encoded units and words that a Python worker keeps.
-UNITS, WORDS = 400_000, 700_000
+#: Encoded words that a Python worker keeps; bytes of text that are looked up at once.
+WORDS, BLOCK_BYTES = 300_000, 2 << 20
 MANIFEST = "part int, place int, path string, n_docs long, n_ids long"
 
 
@@ -59,6 +60,17 @@ def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+_worker: dict[str, Tiles] = {}
+
+
+def worker_tiles(path: str) -> Tiles:
+    """One encoder with its tables for each Python worker, kept from task to task."""
+    if path not in _worker:
+        _worker.clear()
+        _worker[path] = Tiles(Units(library_encoder(path), words=WORDS))
+    return _worker[path]
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, base: int, *, least: int = 96, most: int = (1 << 16) - 1, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over documents that begin at starts: (symbols, starts among the symbols, rules). Rule r makes symbol base + r.
 
@@ -201,7 +213,7 @@ def write(docs: DataFrame, path: str, folder: str, *, end_id: int = 0) -> DataFr
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        units, base = worker_units(library_encoder, path, size=UNITS, words=WORDS), max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
+        tiles, base = worker_tiles(path), max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
         place, n, doc_ids, ids, end = 0, 0, [], [], np.array([end_id], "<u4").tobytes()
 
         def close():
@@ -212,7 +224,7 @@ def write(docs: DataFrame, path: str, folder: str, *, end_id: int = 0) -> DataFr
 
         for batch in batches:
             for part in chunks(batch, "text", BLOCK_BYTES):
-                for doc, own in zip(part.column("doc_id").to_pylist(), units([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                for doc, own in zip(part.column("doc_id").to_pylist(), tiles(part.column("text")), strict=True):
                     doc_ids.append(NULL_ID if doc is None else doc)
                     ids.append(own + end)
                     n += len(own) // 4 + 1
