@@ -4,8 +4,8 @@ Texts are cut into the matches of the tokenizer's pattern. The distinct new piec
 together: an inverted index maps each mergeable rank to the places (piece, position) where a pair of neighbours makes
 that token, and the ranks are replayed in ascending order; a merge looks again only at the pairs to its left and right,
 which may enter the index at any rank. Places of one rank are taken from left to right. Within a piece this is the order
-in which the greedy encoder merges, so ids are the same. Encoded pieces stay in a cache of bounded size for each Python
-worker.
+in which the greedy encoder merges, so ids are the same. Encoded units stay in caches of bounded size while a task
+runs.
 
 Most of the cutting is done by a plain split at single spaces, since no match runs from a non-space into a space: a text
 is the pieces of its first unit and those of each further unit with its space in front. Only where white space follows a
@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import base64
 import heapq
+import operator
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import chunks
+from .shared import chunks, give_back
 
-CACHE = 150_000
+CACHE, WORDS = 300_000, 500_000
 #: Bytes of text whose new pieces are replayed together: the more, the more places share a rank's step.
 BLOCK_BYTES = 4 << 20
 #: The white space of Unicode, which \s stands for in the pattern.
@@ -177,22 +178,28 @@ class Units:
         get = self.cache.__getitem__
         return [first + b"".join(map(get, u[1:])) if u else first for u, first in zip(split, done[len(order) :], strict=True)]
 
+    def forget(self) -> None:
+        """Empty the caches, which are worth their memory only while a task runs."""
+        self.cache, self.known = {}, {}
+
     def composed(self, units: set[str]) -> list[str]:
         """Enter the units of letters and marks into the cache; returns the others."""
         if len(self.known) > self.words:
             self.known.clear()
-        other, parts = [], []
+        other, whole, words, marks = [], [], [], []
         for u in units:
             w = u.rstrip(MARKS)
             if w.isalpha() and (w.isascii() or max(w) < "\u0250"):
-                parts.append((u, w))
+                whole.append(u)
+                words.append(w)
+                marks.append(u[len(w) :])
             else:
                 other.append(u)
         known = self.known
-        words = list({w for _, w in parts} - known.keys())
-        marks = list({u[len(w) :] for u, w in parts} - known.keys())
-        known.update(zip(words + marks, self.encode([*(" " + w for w in words), *marks]), strict=True))
-        self.cache.update((u, known[w] + known[u[len(w) :]]) for u, w in parts)
+        new, ends = list(set(words) - known.keys()), list(set(marks) - known.keys())
+        known.update(zip(new + ends, self.encode([*(" " + w for w in new), *ends]), strict=True))
+        get = known.__getitem__
+        self.cache.update(zip(whole, map(operator.add, map(get, words), map(get, marks)), strict=True))
         return other
 
 
@@ -200,16 +207,13 @@ def replay_encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]
     """texts -> ids as little-endian unsigned 32-bit integers."""
     import regex
 
-    replay, find, cache = MergeReplay(load_ranks(path)), regex.compile(pattern).findall, {}
+    replay, find = MergeReplay(load_ranks(path)), regex.compile(pattern).findall
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(cache) > CACHE:
-            cache.clear()
         split = [find(t) for t in texts]
-        new = list(set().union(*split) - cache.keys())
-        for piece, ids in zip(new, replay.encode([p.encode() for p in new]), strict=True):
-            cache[piece] = ids.tobytes()
-        return [b"".join(map(cache.__getitem__, s)) for s in split]
+        new = list(set().union(*split))
+        done = {piece: ids.tobytes() for piece, ids in zip(new, replay.encode([p.encode() for p in new]), strict=True)}
+        return [done[s[0]] if len(s) == 1 else b"".join(map(done.__getitem__, s)) for s in split]
 
     return encode
 
@@ -217,12 +221,12 @@ def replay_encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]
 _worker: dict = {}
 
 
-def worker_units(kind: Callable[..., Callable], *args, size: int = CACHE, words: int = 0) -> Units:
-    """One encoder with its cache for each Python worker, kept from task to task."""
-    key = (kind.__name__, size, words, *args)
+def worker_units(kind: Callable[..., Callable], *args, words: int = 0) -> Units:
+    """One encoder for each Python worker; its tables are kept from task to task."""
+    key = (kind.__name__, words, *args)
     if key not in _worker:
         _worker.clear()
-        _worker[key] = Units(kind(*args), size, words)
+        _worker[key] = Units(kind(*args), words=words)
     return _worker[key]
 
 
@@ -230,11 +234,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row of docs(doc_id, text); ids: little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = worker_units(replay_encoder, path, pattern)
+        units = worker_units(replay_encoder, path, pattern, words=WORDS)
         for batch in batches:
             for part in chunks(batch, "text", BLOCK_BYTES):
                 ids = units([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        units.forget()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
@@ -257,6 +263,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for part in chunks(batch, "ids", BLOCK_BYTES):
                 out = [back(x) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
+        give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{kinds}, decoded binary")
@@ -266,11 +273,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """decode(encode(docs)) in one pass: (doc_id, n_tokens, ids, decoded). Half as many Python workers hold memory at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, back = worker_units(replay_encoder, path, pattern), decoder(path)
+        units, back = worker_units(replay_encoder, path, pattern, words=WORDS), decoder(path)
         for batch in batches:
             for part in chunks(batch, "text", BLOCK_BYTES):
                 ids = units([t or "" for t in part.column("text").to_pylist()])
                 columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(back, ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
+        units.forget()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")

@@ -7,6 +7,8 @@ folder of this machine is used and put into the session.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -38,11 +40,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the plan starts anew from files."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._credence_path = path
     return out
 
 
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that cut() wrote and nobody dropped; results that read them end with this."""
+    while _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that cut() wrote, once nothing reads it any more."""
     spark, path = df.sparkSession, df._credence_path
@@ -83,6 +96,13 @@ def values(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: a Python worker outlives it, idle or not."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def filesystem(uri: str):
     """pyarrow's file system for a URI, and the path in it."""
     from pyarrow import fs
