@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, offsets, values
+from .shared import chunks, give_back, offsets, values
 from .tokens import mix, text_words, words
 
 #: Fixed masks: 1 lets a word through.
@@ -116,6 +116,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST) -> Da
                         own = pa.array([block.items[n][0] for _, n in best], pa.int64())
                         equal, start, size = (np.array(x) for x in zip(*best.values(), strict=True))
                         yield pa.RecordBatch.from_arrays([ids, own, pa.array(-start), pa.array(size), pa.array(equal)], names=["doc_id", "item_id", "start_word", "n_words", "n_equal"])
+            give_back()
 
         return texts.mapInArrow(run, schema)
 
@@ -165,6 +166,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST) -> DataF
                     keep = np.ones(part.num_rows, bool)
                     keep[[d for d, *_ in found_in(hashes, begins, sent.value, least)]] = False
                     yield part.filter(pa.array(keep))
+            give_back()
 
         return rows.mapInArrow(run, docs.schema)
 

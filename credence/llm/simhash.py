@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .shared import cut
+from .shared import cut, give_back
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LONG = 8 << 20
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -104,21 +105,30 @@ def pairs_within(lists: pa.RecordBatch, masks: list[int], distance: int) -> tupl
     at = column.offsets.to_numpy()
     flat, sizes, starts = column.values.to_numpy(zero_copy_only=False).view(np.uint64), np.diff(at), lists.column("start").to_numpy(zero_copy_only=False)
     m, left, right = len(masks), [], []
+
+    def check(a: np.ndarray, b: np.ndarray, s: int) -> None:
+        used = np.zeros(len(a), np.int64)
+        for n in range(1, m + 1):
+            used += np.bitwise_count((a ^ b) & np.uint64(masks[(s + n - 1) % m]))
+            ok = used <= n * distance // m
+            a, b, used = a[ok], b[ok], used[ok]
+        ok = np.bitwise_count(a ^ b) <= distance
+        left.append(a[ok])
+        right.append(b[ok])
+
     for k, s in {(int(k), int(s)) for k, s in zip(sizes, starts, strict=True)}:
         rows = np.flatnonzero((sizes == k) & (starts == s))
+        if k > 256:  # some of a list against what follows them
+            for row in rows:
+                x = flat[at[row] : at[row] + k]
+                for i in range(0, k, 64):
+                    j, n = np.triu_indices(min(64, k - i), 1, k - i)
+                    check(x[i + j], x[i + n], s)
+            continue
         i, j = np.triu_indices(k, 1)
-        pieces = np.array_split(rows, max(1, len(rows) * len(i) >> 20))
-        for some, part in ((x, y) for x in pieces for y in np.array_split(np.arange(len(i)), max(1, len(i) >> 20))):
+        for some in np.array_split(rows, max(1, len(rows) * len(i) >> 18)):
             grid = flat[at[some][:, None] + np.arange(k)]
-            a, b = grid[:, i[part]].ravel(), grid[:, j[part]].ravel()
-            used = np.zeros(len(a), np.int64)
-            for n in range(1, m + 1):
-                used += np.bitwise_count((a ^ b) & np.uint64(masks[(s + n - 1) % m]))
-                ok = used <= n * distance // m
-                a, b, used = a[ok], b[ok], used[ok]
-            ok = np.bitwise_count(a ^ b) <= distance
-            left.append(a[ok])
-            right.append(b[ok])
+            check(grid[:, i].ravel(), grid[:, j].ravel(), s)
     none = np.zeros(0, np.uint64)
     return np.concatenate([none, *left]).view(np.int64), np.concatenate([none, *right]).view(np.int64)
 
@@ -190,13 +200,13 @@ def jaccard(a: str, b: str, n: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def surplus(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, distance: int = 5, segments: int = 8, chain: int = 6) -> DataFrame:
+def surplus(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, distance: int = 5, segments: int = 8, chain: int = 6, bucket: int = 1 << 14) -> DataFrame:
     """(doc_id, k) of documents that some other one stands for: k is the text's hash.
 
     Fingerprints within `distance` make groups; the document with the smallest id stands for its group, and those whose
     shingles of `words` words are similar to its own go. Texts of groups alone are joined, each with the one that stands.
     """
-    found = cut(groups(docs, distance=distance, segments=segments, chain=chain).select("doc_id", "component_id"), "simhash-found")
+    found = cut(groups(docs, distance=distance, segments=segments, chain=chain, bucket=bucket).select("doc_id", "component_id"), "simhash-found")
     held = found.where("doc_id <> component_id").select("component_id").distinct()
     role = found.join(held, "component_id").where("doc_id IS NOT NULL").distinct()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, chunks, cut, drop, offsets, values
+from .shared import CHUNK_BYTES, chunks, cut, drop, give_back, offsets, values
 
 Q = 32
 FAN = 8
@@ -118,6 +118,7 @@ def initial(texts: DataFrame, length: int) -> DataFrame:
                 doc = np.searchsorted(starts, p, "right") - 1
                 ids, k = part.column("doc_id").take(pa.array(doc)), part.column("k").take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([ids, k, pa.array(p - starts[doc]), pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), pa.array(g), pa.array(u.view(np.int64))], names=["doc_id", "k", "p", "lo", "hi", "g", "u"])
+        give_back()
 
     return texts.mapInArrow(run, "doc_id long, k long, p long, lo smallint, hi smallint, g long, u long")
 
@@ -161,6 +162,7 @@ def nodes(work: DataFrame, length: int, width: int) -> DataFrame:
                         rows.append((doc, k, p, low, high, r["need"], a, b, (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), y - (1 << 63), r0, r1))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        give_back()
 
     return work.mapInArrow(run, "doc_id long, k long, p long, lo smallint, hi smallint, need boolean, a smallint, b smallint, i1 long, i2 long, u long, r0 smallint, r1 smallint")
 
@@ -203,7 +205,7 @@ def spans(texts: DataFrame, length: int) -> DataFrame:
     found = parts[0]
     for x in parts[1:]:
         found = found.union(x)
-    out = cut(found.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "suffix-spans")
+    out = cut(found.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")  # a set: rows that repeat a text add nothing
     for x in [*parts, held, *([state] if state is not None else [])]:
         drop(x)
     free(spark)
