@@ -238,7 +238,8 @@ def text_groups(kinds: DataFrame, salts: int, distance: int, reach: int, segment
     for salt in range(salts):
         own = kinds.select("k", F.col(f"fp{salt}").alias("fp"))
         classes = cut(own.groupBy("fp").agg(F.min("k").alias("top"), F.count("*").alias("n")), "simhash-classes")
-        found = cut(links(classes, distance, segments, chain, bucket, reach), "simhash-links")
+        stars = components(links(classes, distance, segments, chain, bucket, reach))  # at most one row for each fingerprint
+        found = cut(stars.select(F.col("node").alias("a"), F.col("component").alias("b")), "simhash-links")
         same = own.join(classes.where("n > 1").select("fp", "top"), "fp").select(F.col("k").alias("a"), F.col("top").alias("b"))
         left, right = (classes.select(F.col("fp").alias(x), F.col("top").alias(y)) for x, y in (("a", "x"), ("b", "y")))
         linked = found.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -247,6 +248,8 @@ def text_groups(kinds: DataFrame, salts: int, distance: int, reach: int, segment
         drop(found)
         kinds.sparkSession._jvm.System.gc()  # Spark deletes shuffle files once the driver has collected their plans
     roots = components(reduce(DataFrame.union, edges))
+    for own in edges:
+        drop(own)
     return roots.select(F.col("node").alias("k"), "component").union(roots.select(F.col("component").alias("k"), "component").distinct())
 
 
@@ -285,7 +288,7 @@ def followers(undecided: DataFrame, similarity: float, words: int, kind: str) ->
     return ordered.mapInArrow(run, f"doc_id {kind}, k long")
 
 
-def surplus(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, distance: int = 5, reach: int = 5, salts: int = 1, segments: int = 8, chain: int = 6, bucket: int = 1 << 14) -> DataFrame:
+def surplus(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, distance: int = 5, reach: int = 8, salts: int = 4, segments: int = 8, chain: int = 6, bucket: int = 1 << 14) -> DataFrame:
     """(doc_id, k) of documents that some other one stands for: k is the text's hash.
 
     Equal texts are one, with the smallest id. Links of fingerprints make groups of texts: pairs within `distance` are

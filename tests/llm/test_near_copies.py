@@ -36,3 +36,15 @@ def test_copies_that_only_resemble_each_other_go(spark, monkeypatch):
     for crowd in (simhash.CROWD, 1):
         monkeypatch.setattr(simhash, "CROWD", crowd)
         assert left(spark, texts) == {0, 1, 7}
+
+
+def test_most_pairs_at_the_limit_are_found(spark):
+    rng = random.Random(9)
+    texts = []
+    while len(texts) < 160:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        own, near = " ".join(words), " ".join(edited(rng, words, rng.randint(2, 6)))
+        if simhash.jaccard(own, near, 5) >= 0.8:
+            texts += [own, near]
+    stay = left(spark, texts)
+    assert set(range(0, 160, 2)) <= stay and len(stay) <= 80 + 8
