@@ -27,7 +27,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_levels: int = 10_000) -> DataF
     """(claim_id, via, level) of everything that depends on seeds(claim_id), directly or not, without the seeds.
 
     edges(from_id depends on to_id). One join for each level; via is the smallest claim of the level before that leads
-    here. Cycles end because visited claims are left out; only whether a level is empty reaches the driver.
+    here. Cycles end because visited claims are left out; only whether a level is empty reaches the driver. A chain of
+    more than max_levels levels is an error.
     """
     e = _cut(edges.where("kind = 'depends_on'").select("from_id", "to_id").distinct())
     front = _cut(seeds.select("claim_id").distinct())
@@ -40,6 +41,9 @@ def reach(edges: DataFrame, seeds: DataFrame, max_levels: int = 10_000) -> DataF
         levels.append(step)
         front = step.select("claim_id")
         seen = seen.union(front)
+    else:
+        if not e.join(front, e["to_id"] == front["claim_id"]).join(seen, e["from_id"] == seen["claim_id"], "left_anti").isEmpty():
+            raise RuntimeError(f"dependents go on beyond {max_levels} levels")
     out = seeds.select("claim_id", F.lit(None).cast("string").alias("via"), F.lit(0).alias("level")).limit(0)
     for x in levels:
         out = out.union(x)
