@@ -3,62 +3,49 @@
 Texts are dealt out by ranges of doc_id and sorted, so shards hold ascending documents. Each text is encoded with the
 tokenizers library, an end id is appended, and every shard is compressed by Re-Pair: the frequent pairs of neighbouring
 ids are counted, the most frequent ones that don't compete for an id are replaced by new nonterminals, and so on until no
-pair is frequent enough or the symbols outgrow 16 bits. Pairs never cross a document, so each document is a run of
-symbols of its own. A shard stores the rules, how many ids each rule expands to, the symbols, and where each document
-begins among the symbols and among the ids: any document, or any range of ids within it, is decoded without the rest.
+pair is frequent. Pairs never cross a document, so each document is a run of symbols of its own. A shard stores the
+rules, how many ids each rule expands to, the symbols, and where each document begins among the symbols and among the
+ids: any document, or any range of ids within it, is decoded without the rest.
 
-File layout, little-endian: magic ``RPG1``; 8 longs (documents, ids, symbols, rules, first nonterminal, bytes of a
+File layout, little-endian: magic ``RPG2``; 8 longs (documents, ids, symbols, rules, first nonterminal, bytes of a
 symbol, 0, 0); doc ids (long), symbol starts (long, one more than documents), id starts (same); rules (2 x uint32 each);
-expansion lengths (uint32 each); symbols (uint16 or uint32).
+expansion lengths (uint32 each); symbols (uint16 or uint32, as the largest needs); one byte for each document: 1 if its
+id is null.
 
 Shards are files of the shared folder under names that no other task attempt uses; the manifest lists those of committed
 tasks, and from it each shard's first position in the whole id stream is summed.
 
-Nulls: a null text is an empty one and has the end id alone; null ids come first and stay null. Rows that repeat a doc_id
-are neighbours. An empty table gives no shard and no row. Extra columns are ignored.
+doc_id must be an integer column, since files hold 64-bit ids; others are refused with a TypeError. Nulls: a null text is
+an empty one and has the end id alone; null ids come first and stay null. Rows that repeat a doc_id are neighbours, in
+the order of their texts' hashes. An empty table gives no shard and no row. Texts of any length are whole; one that is
+longer than a shard is a shard of its own. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Units
 from .shared import chunks, cut, give_back, new_path, read_bytes, write_bytes
-from .tiles import Tiles
+from .tiles import Library, Tiles
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: Ids of a shard, about; bounds a task's memory.
 SHARD_IDS = 3_000_000
-#: Bytes of table files for each task that writes shards.
-TASK_BYTES = 12 << 20
+#: Bytes of text for each task that writes shards.
+TASK_BYTES = 20 << 20
 MAX_PARTS = 100_000
-NULL_ID = -(1 << 63)
-#: Encoded words that a Python worker keeps; bytes of text that are looked up at once.
-WORDS, BLOCK_BYTES = 300_000, 2 << 20
+#: Bytes of text that are looked up at once.
+BLOCK_BYTES = 2 << 20
+#: How often a pair must occur in a shard to get a rule, which takes 12 bytes there.
+LEAST = 32
 MANIFEST = "part int, place int, path string, n_docs long, n_ids long"
-
-
-def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """texts -> ids of the tokenizers library as little-endian unsigned 32-bit integers; strings of special tokens are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-
-    def encode(texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-
-    return encode
-
+_SLOT_BITS = 20
 
 _worker: dict[str, Tiles] = {}
 
@@ -67,74 +54,101 @@ def worker_tiles(path: str) -> Tiles:
     """One encoder with its tables for each Python worker, kept from task to task."""
     if path not in _worker:
         _worker.clear()
-        _worker[path] = Tiles(Units(library_encoder(path), words=WORDS))
+        _worker[path] = Tiles(Library(path))
     return _worker[path]
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, base: int, *, least: int = 96, most: int = (1 << 16) - 1, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair over documents that begin at starts: (symbols, starts among the symbols, rules). Rule r makes symbol base + r.
-
-    Each round counts all pairs, takes the most frequent ones whose left and right ids are not taken on the other side by
-    a more frequent one (so no two replacements can overlap), and replaces them from left to right. Ids of vocabularies
-    that leave no room below ``most`` are stored as they are.
+def slots(codes: np.ndarray) -> np.ndarray:
+    """Place of each pair code in a table of 2 ** _SLOT_BITS."""
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+
+
+def choose(often: np.ndarray) -> np.ndarray:
+    """Of pair codes, the most frequent first: those whose left and right ids no earlier one has on the other side, so that
+    no two replacements overlap, and whose slots differ. The others get their turn in a later round."""
+    lefts, rights, taken, chosen = set(), set(), set(), []
+    for code, slot in zip(often.tolist(), slots(often).tolist(), strict=True):
+        a, b = code >> 32, code & 0xFFFFFFFF
+        # a pair of one id overlaps itself, so no other pair may have that id in this round
+        if a in rights or b in lefts or slot in taken or a == b and (a in lefts or b in rights):
+            continue
+        lefts.add(a)
+        rights.add(b)
+        if a == b:
+            rights.add(a)
+            lefts.add(b)
+        taken.add(slot)
+        chosen.append(code)
+    return np.array(sorted(chosen), np.uint64)
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, base: int, *, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair over documents that begin at starts (one more: the end): (symbols, starts among the symbols, rules).
+
+    Rule r makes symbol base + r. A round counts pairs, chooses frequent ones and replaces them from left to right in a
+    linked list. Only places whose pair was frequent before or holds a new symbol are looked at again: a pair of older
+    symbols never becomes more frequent, so every count that matters is exact. Rounds end when no pair is frequent.
     """
-    starts, rules, size = starts.copy(), [np.zeros((0, 2), np.int64)], base
-    if base >= most:
-        return ids, starts, rules[0]
-    seq, none = ids.astype(np.uint32), np.uint32(0xFFFFFFFF)
-    for _ in range(rounds):
-        if len(seq) < 2 or size >= most:
-            break
-        pair = (seq[:-1] << np.uint32(16)) | seq[1:]
-        inner = starts[(starts > 0) & (starts < len(seq))]
-        pair[inner - 1] = none
-        runs = np.sort(pair)
+    n, none = len(ids), np.uint32(0xFFFFFFFF)
+    token, after, before = ids.astype(np.uint32), np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    after[starts[1:][starts[1:] > 0] - 1] = -1
+    before[starts[:-1][starts[:-1] < n]] = -1
+    rules, size = [np.zeros((0, 2), np.int64)], base
+    at = np.flatnonzero(after >= 0).astype(np.int32)
+    while len(at):
+        code = token[at].astype(np.uint64) << np.uint64(32) | token[after[at]]
+        runs = np.sort(code)
         begin = np.concatenate([[0], np.flatnonzero(runs[1:] != runs[:-1]) + 1])
         counts = np.diff(begin, append=len(runs))
-        often = np.flatnonzero((counts >= least) & (runs[begin] != none))
-        often = often[np.argsort(-counts[often], kind="stable")]
-        lefts, rights, slots, chosen = set(), set(), set(), []
-        for code in runs[begin[often]].tolist():
-            a, b = code >> 16, code & 0xFFFF
-            slot = (code * 0x9E3779B1 & 0xFFFFFFFF) >> 12
-            # a pair of one id overlaps itself, so no other pair may have that id in this round
-            if a in rights or b in lefts or slot in slots or a == b and (a in lefts or b in rights):
-                continue
-            lefts.add(a)
-            rights.add(b)
-            if a == b:
-                rights.add(a)
-                lefts.add(b)
-            slots.add(slot)
-            chosen.append(code)
-            if size + len(chosen) >= most:
-                break
-        if not chosen:
+        often = np.flatnonzero(counts >= least)
+        if not len(often):
             break
-        made = np.array(sorted(chosen), np.uint32)
-        table = np.zeros(1 << 20, np.int32)
-        table[(made * np.uint32(0x9E3779B1)) >> np.uint32(12)] = np.arange(len(made))
-        number = table[(pair * np.uint32(0x9E3779B1)) >> np.uint32(12)]
-        at = np.flatnonzero(made[number] == pair)
-        if len(at) > 1:  # places next to each other are runs of one id: every second one, from the left
-            lead = np.concatenate([[True], np.diff(at) != 1])
-            along = np.arange(len(at))
-            at = at[(along - np.maximum.accumulate(np.where(lead, along, 0))) % 2 == 0]
-        seq[at] = (size + number[at]).astype(np.uint32)
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        starts = starts - np.searchsorted(at + 1, starts)
-        seq = seq[keep]
-        rules.append(np.stack([made >> np.uint32(16), made & np.uint32(0xFFFF)], 1).astype(np.int64))
+        often = runs[begin[often[np.argsort(-counts[often], kind="stable")]]]
+        made = choose(often)
+        slot = slots(code)
+        warm, number = np.zeros(1 << _SLOT_BITS, bool), np.zeros(1 << _SLOT_BITS, np.int32)
+        warm[slots(often)] = True
+        number[slots(made)] = np.arange(len(made))
+        near = np.flatnonzero(warm[slot])  # every place of a frequent pair, and a few others
+        at, code, own = at[near], code[near], number[slot[near]]
+        hit = made[own] == code
+        p, own = at[hit], own[hit]
+        q = after[p]
+        if len(p) > 1 and (chained := q[:-1] == p[1:]).any():  # runs of one id: every second place, from the left
+            along = np.arange(len(p))
+            lead = np.concatenate([[True], ~chained])
+            taken = (along - np.maximum.accumulate(np.where(lead, along, 0))) % 2 == 0
+            p, q, own = p[taken], q[taken], own[taken]
+        end = after[q]
+        token[p], token[q], after[p] = (size + own).astype(np.uint32), none, end
+        before[end[end >= 0]] = p[end >= 0]
+        start = before[p]
+        again = np.zeros(n, bool)
+        again[at[~hit]] = again[p] = again[start[start >= 0]] = True
+        again[q] = False
+        at = np.flatnonzero(again).astype(np.int32)
+        at = at[after[at] >= 0]
+        rules.append(np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1).astype(np.int64))
         size += len(made)
-    return seq, starts, np.concatenate(rules)
+    alive = token != none
+    return token[alive], np.concatenate([[0], np.cumsum(alive)])[starts], np.concatenate(rules)
+
+
+def batches_of(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rules none of which refers to another of its range."""
+    largest, at = np.maximum.accumulate(rules.max(1)) if len(rules) else np.zeros(0, np.int64), 0
+    while at < len(rules):
+        end = int(np.searchsorted(largest, base + at, "left"))
+        yield at, end
+        at = end
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule expands to. A rule's parts are ids or earlier rules."""
     out = np.ones(len(rules) + 1, np.int64)  # the last stands for plain ids
-    for r, (a, b) in enumerate(rules.tolist()):
-        out[r] = out[a - base if a >= base else -1] + out[b - base if b >= base else -1]
+    part = np.where(rules >= base, rules - base, len(rules))
+    for a, b in batches_of(rules, base):
+        out[a:b] = out[part[a:b]].sum(1)
     return out[:-1]
 
 
@@ -146,10 +160,8 @@ class Expansions:
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.ids = np.empty(int(self.size.sum()), np.uint32)
         self.ids[:base] = np.arange(base)
-        for r, (a, b) in enumerate(rules.tolist()):
-            at, n, m = self.start[base + r], self.size[a], self.size[b]
-            self.ids[at : at + n] = self.ids[self.start[a] : self.start[a] + n]
-            self.ids[at + n : at + n + m] = self.ids[self.start[b] : self.start[b] + m]
+        for a, b in batches_of(rules, base):
+            self.ids[self.start[base + a] : self.start[base + b - 1] + self.size[base + b - 1]] = self(rules[a:b].ravel())
 
     def __call__(self, symbols: np.ndarray) -> np.ndarray:
         size = self.size[symbols]
@@ -160,12 +172,14 @@ class Expansions:
         return self.ids[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
 
-def pack(doc_ids: np.ndarray, ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
+def pack(doc_ids: list[int | None], ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
     """A shard; starts: where each document begins among the ids, and where the last ends."""
     symbols, at, rules = compress(ids, starts, base)
+    null = np.array([x is None for x in doc_ids], np.uint8)
     width = 2 if base + len(rules) <= 1 << 16 else 4
     head = np.array([len(doc_ids), len(ids), len(symbols), len(rules), base, width, 0, 0], "<i8")
-    parts = [head, doc_ids.astype("<i8"), at.astype("<i8"), starts.astype("<i8"), rules.astype("<u4"), lengths(rules, base).astype("<u4"), symbols.astype(f"<u{width}")]
+    own = np.array([0 if x is None else x for x in doc_ids], "<i8")
+    parts = [head, own, at.astype("<i8"), starts.astype("<i8"), rules.astype("<u4"), lengths(rules, base).astype("<u4"), symbols.astype(f"<u{width}"), null]
     return MAGIC + b"".join(x.tobytes() for x in parts)
 
 
@@ -184,10 +198,11 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.starts, self.id_starts = take("<i8", docs), take("<i8", docs + 1), take("<i8", docs + 1)
+        ids, self.starts, self.id_starts = take("<i8", docs), take("<i8", docs + 1), take("<i8", docs + 1)
         self.rules = take("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
         self.lengths = take("<u4", rules).astype(np.int64)
         self.symbols = take(f"<u{width}", symbols)
+        self.doc_ids = [None if null else i for i, null in zip(ids.tolist(), take("<u1", docs).tolist(), strict=True)]
         self.expand = Expansions(self.rules, self.base)
 
     def document(self, n: int) -> np.ndarray:
@@ -206,26 +221,31 @@ class Shard:
 
 def write(docs: DataFrame, path: str, folder: str, *, end_id: int = 0) -> DataFrame:
     """Write docs(doc_id, text) as shards in ascending doc_id order; returns the manifest, whose (part, place) is the order of the shards."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    ordered = docs.select("doc_id", "text").repartitionByRange(max(1, min(MAX_PARTS, size // TASK_BYTES)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    if docs.schema["doc_id"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise TypeError("doc_id must be an integer column")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # the hash splits rows that share an id; equal rows may lie in any order
+    order = (F.asc_nulls_first("doc_id"), F.xxhash64("text").asc())
+    ordered = rows.repartitionByRange(max(1, min(MAX_PARTS, size // TASK_BYTES)), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tiles, base = worker_tiles(path), max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
+        tiles = worker_tiles(path)
+        base = max(tiles.library.n_ids, end_id + 1)
         place, n, doc_ids, ids, end = 0, 0, [], [], np.array([end_id], "<u4").tobytes()
 
         def close():
             starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
             target = f"{folder}/{uuid.uuid4().hex}.rpg"
-            write_bytes(target, pack(np.array(doc_ids, np.int64), np.frombuffer(b"".join(ids), "<u4"), starts, base))
+            write_bytes(target, pack(doc_ids, np.frombuffer(b"".join(ids), "<u4"), starts, base))
             return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([place], pa.int32()), pa.array([target]), pa.array([len(ids)]), pa.array([int(starts[-1])])], names=["part", "place", "path", "n_docs", "n_ids"])
 
         for batch in batches:
             for part in chunks(batch, "text", BLOCK_BYTES):
                 for doc, own in zip(part.column("doc_id").to_pylist(), tiles(part.column("text")), strict=True):
-                    doc_ids.append(NULL_ID if doc is None else doc)
+                    doc_ids.append(doc)
                     ids.append(own + end)
                     n += len(own) // 4 + 1
                     if n >= SHARD_IDS:
@@ -255,9 +275,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     b = min(a + 500, len(shard.doc_ids))
                     ids = shard.expand(shard.symbols[shard.starts[a] : shard.starts[b]]).astype("<u4", copy=False)
                     cuts = shard.id_starts[a : b + 1] - shard.id_starts[a]
-                    docs = [None if x == NULL_ID else x for x in shard.doc_ids[a:b].tolist()]
                     texts = [ids[i:j].tobytes() for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(row["first"] + shard.id_starts[a:b]), pa.array(texts, pa.binary())], names=["doc_id", "start", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[a:b], pa.int64()), pa.array(row["first"] + shard.id_starts[a:b]), pa.array(texts, pa.binary())], names=["doc_id", "start", "ids"])
 
     return work.repartition(max(1, min(100_000, manifest.count()))).mapInArrow(run, "doc_id long, start long, ids binary")
 

@@ -2,17 +2,24 @@
 
 A tile is a space with what follows up to the next space. Where no white space follows a space, a tokenizer whose pieces
 never run from a non-space into a space gives the ids of a text as those of its tiles, one after another. Tiles are hashed
-by prefix sums and looked up in an open-addressing table; new ones alone are encoded, by the encoder given. What the found
-tiles spell is compared with the texts byte by byte, so equal hashes of different tiles can't go unnoticed: such a block,
-and texts with white space behind a space, are encoded the plain way.
+by prefix sums and looked up in an open-addressing table; new ones alone are encoded by the library, many in one string,
+whose ids are dealt back to the tiles by the lengths of the tokens. What the found tiles spell is compared with the texts
+byte by byte, so equal hashes of different tiles can't go unnoticed: such a block is encoded the plain way, and so are
+texts with white space behind a space or with the string of an added token, which the library takes out before it splits.
+Tokenizers of another kind are used the plain way throughout.
+
+Nulls count as empty texts. Empty texts have no ids; texts of any length, ties and repeated texts are no special case; an
+empty column gives an empty list. Columns other than the one given are never seen.
 """
 
 from __future__ import annotations
 
+import json
+import os
+
 import numpy as np
 import pyarrow as pa
 
-from .bpe import Units
 from .shared import offsets, values
 from .tokens import _INVERSE, _P, _power, mix
 
@@ -20,6 +27,31 @@ from .tokens import _INVERSE, _P, _power, mix
 _RISKY = np.zeros(256, bool)
 _RISKY[[9, 10, 11, 12, 13, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED2701))
+#: Bytes of new tiles that the library gets as one string.
+JOINED = 1 << 14
+
+
+class Library:
+    """A tokenizer of the tokenizers library: texts -> ids, without special tokens added."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split, vocab = made.get("pre_tokenizer") or {}, own.get_vocab(with_added_tokens=True)
+        self.own, self.n_ids = own, max(vocab.values(), default=0) + 1
+        #: Strings that are taken out of a text before it is split.
+        self.added = [x["content"].encode() for x in made.get("added_tokens") or ()]
+        #: Whether pieces end before every space, and every character of a token stands for one byte.
+        self.by_tiles = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not made.get("normalizer") and not (made.get("model") or {}).get("continuing_subword_prefix")
+        self.n_bytes = np.zeros(self.n_ids, np.int64)
+        self.n_bytes[list(vocab.values())] = [len(t) for t in vocab]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Flat:
@@ -28,30 +60,32 @@ class Flat:
     def __init__(self, kind: type):
         self.data, self.starts, self.size, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
 
-    def extend(self, items: list[bytes]) -> None:
-        kind = self.data.dtype
-        size = np.fromiter(map(len, items), np.int64, len(items)) // kind.itemsize
+    def extend(self, data: np.ndarray, size: np.ndarray) -> None:
         at = int(self.starts[self.n - 1] + self.size[self.n - 1]) if self.n else 0
-        while at + int(size.sum()) > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros(len(self.data), kind)])
-        while self.n + len(items) > len(self.starts):
+        while at + len(data) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(len(self.data), self.data.dtype)])
+        while self.n + len(size) > len(self.starts):
             self.starts, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.size))
-        self.data[at : at + int(size.sum())] = np.frombuffer(b"".join(items), kind)
-        self.size[self.n : self.n + len(items)] = size
-        self.starts[self.n : self.n + len(items)] = at + np.cumsum(size) - size
-        self.n += len(items)
+        self.data[at : at + len(data)] = data
+        self.size[self.n : self.n + len(size)] = size
+        self.starts[self.n : self.n + len(size)] = at + np.cumsum(size) - size
+        self.n += len(size)
 
     def gather(self, which: np.ndarray) -> np.ndarray:
-        size = self.size[which]
-        shift = self.starts[which] - (np.cumsum(size) - size)
-        return self.data[np.repeat(shift, size) + np.arange(int(size.sum()))]
+        return pick(self.data, self.starts[which], self.size[which])
+
+
+def pick(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[start : start + size] of each, one after another."""
+    shift = starts - (np.cumsum(size) - size)
+    return data[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
 
 class Tiles:
-    """texts -> ids (little-endian unsigned 32-bit integers) of each. units: encodes the rest, and keeps words."""
+    """texts -> ids (little-endian unsigned 32-bit integers) of each. library: encodes new tiles, and what has no tiles."""
 
-    def __init__(self, units: Units, bits: int = 21):
-        self.units, self.bits = units, bits
+    def __init__(self, library: Library, bits: int = 22):
+        self.library, self.bits = library, bits
         self.reset()
 
     def reset(self) -> None:
@@ -83,18 +117,32 @@ class Tiles:
             left[won] = False
             h, number, at = h[left], number[left], (at[left] + 1) & mask
 
-    def learn(self, texts: list[str], h: np.ndarray) -> None:
+    def learn(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray) -> None:
+        """Encode and enter the new tiles data[a:b] with distinct hashes h."""
+        inner = data[a] == 32  # such tiles may follow any other; those that begin a text stand alone
+        order = np.concatenate([np.flatnonzero(~inner), np.flatnonzero(inner)])
+        a, b, h = a[order], b[order], h[order]
+        size, alone = b - a, len(order) - int(inner.sum())
+        spelt = pick(data, a, size)
+        ends = np.cumsum(size)
+        before = int(ends[alone - 1]) if alone else 0
+        group = np.concatenate([np.arange(alone), alone + (ends[alone:] - size[alone:] - before) // JOINED])
+        last = np.flatnonzero(np.diff(group, append=-1))
+        raw, cuts = spelt.tobytes(), ends[last].tolist()
+        found = self.library([raw[i:j].decode() for i, j in zip([0, *cuts], cuts, strict=False)])
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        reach = np.cumsum(self.library.n_bytes[ids])
+        n = np.searchsorted(reach, ends, "right")
+        if not np.array_equal(reach[n - 1], ends):  # a token that runs from one tile into the next
+            found = self.library([raw[i:j].decode() for i, j in zip((ends - size).tolist(), ends.tolist(), strict=True)])
+            ids, n = np.concatenate(found), np.cumsum([len(x) for x in found])
         self.insert(h)
-        units = self.units
-        units.cache.clear()
-        plain = set(units.composed({t[1:] for t in texts if t[0] == " "}))
-        other = [t for t in texts if t[0] != " " or t[1:] in plain]
-        own = dict(zip(other, units.encode(other), strict=True))
-        self.ids.extend([own[t] if t in own else units.cache[t[1:]] for t in texts])
-        self.bytes.extend([t.encode() for t in texts])
-        units.cache.clear()
+        self.ids.extend(ids, np.diff(n, prepend=0))
+        self.bytes.extend(spelt, size)
 
     def __call__(self, column: pa.Array) -> list[bytes]:
+        if not self.library.by_tiles:
+            return [x.astype("<u4", copy=False).tobytes() for x in self.library([t or "" for t in column.to_pylist()])]
         column = column.fill_null("") if column.null_count else column
         starts = offsets(column)
         data = values(column)[starts[0] : starts[-1]]
@@ -104,20 +152,21 @@ class Tiles:
         space = np.flatnonzero(data == 32)
         end = np.zeros(len(data) + 1, bool)
         end[starts] = True
-        risky = end[space + 1] | _RISKY[data[np.minimum(space + 1, len(data) - 1)]]
+        risky = space[end[space + 1] | _RISKY[data[np.minimum(space + 1, len(data) - 1)]]]
+        risky = np.concatenate([risky, *(places(data, x) for x in self.library.added)])
         bad = np.zeros(len(starts), bool)
-        bad[np.searchsorted(starts, space[risky], "right") - 1] = True
+        bad[np.searchsorted(starts, risky, "right") - 1] = True
         cut = end.copy()
         cut[space] = True
         cuts = np.flatnonzero(cut[:-1])
         ids, at = self.block(data, np.append(cuts, len(data)), bad[np.searchsorted(starts, cuts, "right") - 1])
         if ids is None:
-            return self.units(column.to_pylist())
+            return [x.astype("<u4", copy=False).tobytes() for x in self.library(column.to_pylist())]
         bounds = at[np.searchsorted(cuts, starts)].tolist()
         out = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
         slow = np.flatnonzero(bad[:-1]).tolist()
-        for i, x in zip(slow, self.units([column[i].as_py() for i in slow]) if slow else [], strict=True):
-            out[i] = x
+        for i, x in zip(slow, self.library([column[i].as_py() for i in slow]) if slow else [], strict=True):
+            out[i] = x.astype("<u4", copy=False).tobytes()
         return out
 
     def block(self, data: np.ndarray, edges: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
@@ -128,8 +177,7 @@ class Tiles:
         which = self.find(h)
         if len(missed := np.flatnonzero(which < 0)):
             new, first = np.unique(h[missed], return_index=True)
-            raw = data.tobytes()
-            self.learn([raw[i:j].decode() for i, j in zip(a[missed[first]].tolist(), b[missed[first]].tolist(), strict=True)], new)
+            self.learn(data, a[missed[first]], b[missed[first]], new)
             which[missed] = self.find(h[missed])
         inside = np.repeat(~skip, np.diff(edges))
         if not ((self.bytes.size[which] == b - a).all() and (self.bytes.gather(which) == data[inside]).all()):
@@ -137,3 +185,11 @@ class Tiles:
         size = np.zeros(len(skip), np.int64)
         size[~skip] = self.ids.size[which]
         return self.ids.gather(which), np.concatenate([[0], np.cumsum(size)])
+
+
+def places(data: np.ndarray, wanted: bytes) -> np.ndarray:
+    """Where a byte string begins in data."""
+    raw, out, at = data.tobytes() if wanted else b"", [], -1
+    while wanted and (at := raw.find(wanted, at + 1)) >= 0:
+        out.append(at)
+    return np.array(out, np.int64)

@@ -2,6 +2,8 @@
 
 import random
 import zlib
+from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -19,11 +21,12 @@ def test_grammar_round_trip_and_random_access(base):
     docs = [rng.integers(0, min(base, 5), rng.integers(0, 60)) for _ in range(300)] + [np.zeros(500, int), np.tile([1, 2, 3, 4], 400), np.zeros(0, int), np.array([base - 1] * 9)]
     starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     ids = np.concatenate(docs).astype("<u4")
-    shard = repair.Shard(repair.pack(np.arange(len(docs)), ids, starts, base))
+    shard = repair.Shard(repair.pack(list(range(len(docs))), ids, starts, base))
     assert [shard.document(i).tolist() for i in range(len(docs))] == [d.tolist() for d in docs]
-    if base < 70_000:
-        assert len(shard.rules) > 3 and len(shard.symbols) < 0.7 * len(ids)
-        assert all(len(shard.expand(np.array([base + r]))) == n for r, n in enumerate(shard.lengths))
+    assert len(shard.rules) > 3 and len(shard.symbols) < 0.7 * len(ids)
+    assert all(len(shard.expand(np.array([base + r]))) == n for r, n in enumerate(shard.lengths))
+    pairs = Counter(pair for a, b in zip(shard.starts, shard.starts[1:], strict=False) for pair in pairwise(shard.symbols[a:b].tolist()))
+    assert max(pairs.values()) < repair.LEAST
     for n in (0, 7, 300, 301):
         for a in range(0, len(docs[n]), 13):
             assert shard.slice(n, a, a + 11).tolist() == docs[n][a : a + 11].tolist()
@@ -39,9 +42,26 @@ def want(rows, own):
 
 
 def library():
-    own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(PATH)
+
+
+def test_copies_become_few_symbols():
+    """Rules go on to the whole of a text that is copied."""
+    rng = np.random.default_rng(1)
+    one = rng.integers(0, 50_000, 1000).astype("<u4")
+    symbols, starts, rules = repair.compress(np.tile(one, 200), np.arange(201) * 1000, 50_257)
+    assert len(symbols) == 200 and repair.lengths(rules, 50_257).max() == 1000 and starts.tolist() == list(range(201))
+
+
+def test_ids_of_any_value_and_kind(spark):
+    ids = [None, -(1 << 63), (1 << 63) - 1, 0, 0, None]
+    df = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    got = [r.doc_id for r in repair.round_trip(spark, df, PATH).orderBy("start").collect()]
+    assert got == [None, None, -(1 << 63), 0, 0, (1 << 63) - 1]
+    with pytest.raises(TypeError):
+        repair.round_trip(spark, df.selectExpr("string(doc_id) doc_id", "text"), PATH)
+    short = repair.round_trip(spark, spark.createDataFrame([(2, "see <|endoftext|> here")], "doc_id int, text string"), PATH).collect()
+    assert short[0].n_tokens == len(library().encode("see <|endoftext|> here", add_special_tokens=False).ids) + 1 == 5
 
 
 @pytest.mark.parametrize("ids", [3_000_000, 700])
