@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,17 +10,11 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..plans import State
 from ..schema import TRANSITIONS
+from ..tables import cut, drop
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared folder and read it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        return df.persist()  # a single machine, as in tests
-    path = f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Tables of visited claims that a level may have to read before they are made into one.
+_TABLES = 8
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_levels: int = 10_000) -> DataFrame:
@@ -30,24 +24,27 @@ def reach(edges: DataFrame, seeds: DataFrame, max_levels: int = 10_000) -> DataF
     here. Cycles end because visited claims are left out; only whether a level is empty reaches the driver. A chain of
     more than max_levels levels is an error.
     """
-    e = _cut(edges.where("kind = 'depends_on'").select("from_id", "to_id").distinct())
-    front = _cut(seeds.select("claim_id").distinct())
-    seen, levels = front, []
-    for level in range(1, max_levels + 1):
-        step = e.join(front, e["to_id"] == front["claim_id"]).groupBy("from_id").agg(F.min("to_id").alias("via"))
-        step = _cut(step.join(seen, step["from_id"] == seen["claim_id"], "left_anti").select(F.col("from_id").alias("claim_id"), "via", F.lit(level).alias("level")))
+    e = cut(edges.where("kind = 'depends_on'").select("from_id", "to_id").distinct(), "closure-edges")
+    front = cut(seeds.select("claim_id", F.lit(None).cast("string").alias("via"), F.lit(0).alias("level")).distinct(), "closure")
+    tables = [front]
+    for level in range(1, max_levels + 2):
+        seen = reduce(DataFrame.union, tables).select("claim_id")
+        step = e.join(front.select("claim_id"), e["to_id"] == F.col("claim_id")).groupBy("from_id").agg(F.min("to_id").alias("via"))
+        step = cut(step.join(seen, step["from_id"] == seen["claim_id"], "left_anti").select(F.col("from_id").alias("claim_id"), "via", F.lit(level).alias("level")), "closure")
         if step.isEmpty():
+            drop(step)
             break
-        levels.append(step)
-        front = step.select("claim_id")
-        seen = seen.union(front)
-    else:
-        if not e.join(front, e["to_id"] == front["claim_id"]).join(seen, e["from_id"] == seen["claim_id"], "left_anti").isEmpty():
+        if level > max_levels:
             raise RuntimeError(f"dependents go on beyond {max_levels} levels")
-    out = seeds.select("claim_id", F.lit(None).cast("string").alias("via"), F.lit(0).alias("level")).limit(0)
-    for x in levels:
-        out = out.union(x)
-    return out
+        if len(tables) == _TABLES:
+            whole = cut(reduce(DataFrame.union, tables), "closure")
+            for x in tables:
+                drop(x)
+            tables = [whole]
+        tables.append(step)
+        front = step
+    drop(e)
+    return reduce(DataFrame.union, tables).where("level > 0")
 
 
 def citing(state: State, source: str) -> DataFrame:
