@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import FULL_TEXTS
 from .shared import chunks, offsets, values
 from .tokens import shingles, text_words, words
 
@@ -34,7 +35,7 @@ BLOCKS = 5
 MAX_TEMPLATE_BYTES = 16 << 20
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-#: Opening or notice texts of well-known licenses.
+#: Opening or notice texts of well-known licenses, and the full texts of short ones.
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -46,7 +47,7 @@ TEMPLATES = {
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-}
+} | FULL_TEXTS
 
 
 class Class:

@@ -113,12 +113,14 @@ def judge(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None,
     label = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = counted.select(F.col("`doc_id`").alias("doc_id"), by.alias("stratum"), F.col(f"`{q}`").alias("q")).join(label, "doc_id").select("stratum", "quality", "q")
     limits = thresholds(labelled, **risk).groupBy("stratum").agg(*[F.max(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"__cut_{s}") for s in SIGNALS])
-    limits = cut(limits, "quality-cutoffs").withColumnRenamed("stratum", "__stratum")
-    kept = fresh([*counted.columns, q], "kept")
+    names = [*counted.columns, *(f"__cut_{s}" for s in SIGNALS)]
+    kept, own, stands = fresh(names, "kept"), fresh(names, "by_"), fresh(names, "stratum_")
+    bound = {s: fresh(counted.columns, f"__cut_{s}") for s in SIGNALS}
+    limits = cut(limits, "quality-cutoffs").withColumnsRenamed({"stratum": stands} | {f"__cut_{s}": bound[s] for s in SIGNALS})
     value = lambda s: F.expr(SIGNALS[s][0].replace("q.", f"`{q}`."))
-    over = [F.coalesce(value(s) > F.col(f"__cut_{s}"), F.lit(False)) for s in SIGNALS]
+    over = [F.coalesce(value(s) > F.col(bound[s]), F.lit(False)) for s in SIGNALS]
     verdict = ~F.col(f"`{q}`.base_failed")
     for x in over:
         verdict = verdict & ~x
-    out = counted.withColumn("__by", by).join(limits, F.col("__by") == F.col("__stratum"), "left")
+    out = counted.withColumn(own, by).join(limits, F.col(own) == F.col(stands), "left")
     return out.withColumn(kept, F.coalesce(verdict, F.lit(False))).select(*[F.col(f"`{c}`") for c in counted.columns], F.col(f"`{kept}`")), q, kept

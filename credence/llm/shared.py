@@ -1,68 +1,24 @@
 """Helpers shared by the operators: lineage cuts in the shared folder, Arrow batches of bounded size, byte files.
 
-Every intermediate table is written under ``spark.checkpoint.dir``, the folder the cluster shares between driver and
-executors, so a lost executor costs only the tasks that it ran. Where that setting is absent (tests), a temporary
-folder of this machine is used and put into the session.
+Intermediate tables are those of credence.tables: files under ``spark.checkpoint.dir``, the folder that the cluster
+shares between driver and executors.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from ..tables import clear, cut, drop, new_path, shared_dir, written  # noqa: F401  for the operators
 
 #: Bytes of text that a task's vector code handles at once; its temporaries are some tens of times this.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='credence-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path of the shared folder, with its scheme."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the plan starts anew from files."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _written.append(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._credence_path = path
-    return out
-
-
-_written: list[str] = []
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all tables that cut() wrote and nobody dropped; results that read them end with this."""
-    while _written:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table that cut() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, df._credence_path
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def fresh(columns: Iterable[str], base: str) -> str:
     """base, or base with underscores appended until no column has that name in any case."""
     taken = {c.lower() for c in columns}

@@ -20,7 +20,8 @@ those bytes and once to remove the spans. Identifiers are 128-bit hashes of the
 
 Strings are judged on the input: every byte in a string that starts anywhere else too is removed, copies inside one
 document included; matches never cross documents. Nulls: a null text is an empty one, a null id is kept. Repeated rows are
-copies of each other. Texts shorter than ``length`` are kept whole. An empty table gives an empty result. Texts of any
+copies of each other. doc_id must be a number of at most 64 bits; ``length`` lies from 32 to 32,767. Texts shorter than
+``length`` are kept whole. An empty table gives an empty result. Texts of any
 length are handled in blocks. Extra columns are dropped by ``removed`` and kept by ``clean``.
 """
 
@@ -251,7 +252,10 @@ def kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def removed(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) of every row of docs(doc_id, text); spans: maximal removed intervals, kept: the other bytes."""
+    """(doc_id, n_bytes, spans, kept, text) of every row of docs(doc_id, text); spans: maximal removed intervals, kept: the
+    other bytes, text: these without characters that an interval cuts through."""
+    if not Q <= length < 1 << 15:
+        raise ValueError(f"length must be from {Q} to {(1 << 15) - 1}")
     texts = keyed(docs)
     work = _same(texts, spans(texts, length), ["k"], "left").select("doc_id", "data", "spans")
 
@@ -262,9 +266,11 @@ def removed(docs: DataFrame, length: int = 400) -> DataFrame:
                 gone = [merge(x) for x in part.column("spans").to_pylist()]
                 pieces = [[{"start": a, "end": b} for a, b in x] for x in gone]
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, data), pa.int64()), pa.array(pieces, kind), pa.array(map(kept, data, gone), pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                rest = list(map(kept, data, gone))
+                columns = [part.column("doc_id"), pa.array(map(len, data), pa.int64()), pa.array(pieces, kind), pa.array(rest, pa.binary()), pa.array([x.decode(errors="ignore") for x in rest])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept", "text"])
 
-    return work.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return work.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary, text string")
 
 
 def clean(docs: DataFrame, length: int = 400) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from credence.llm import licenses as li
+from credence.llm.license_texts import FULL_TEXTS
 from credence.llm.tokens import shingles, text_words
 
 
@@ -54,3 +55,15 @@ def test_start_word_nulls_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c Released under the MIT License."), (7, "Released under the MIT License. " * 50_000)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.license, r.start_word) for r in li.scan(df).collect()) == [(0, "mit-line", 3), (7, "mit-line", 0)]
     assert li.scan(df.limit(0)).collect() == []
+
+
+def test_full_texts_with_small_changes(spark):
+    """Each full text, re-wrapped, with a word in forty replaced, between other words: found by its name, twice for a repeated row."""
+    docs = []
+    for n, (_name, text) in enumerate(sorted(FULL_TEXTS.items())):
+        w = [x if (i + n) % 40 else "changed" for i, x in enumerate(text.split())]
+        docs.append((n, " ".join(f"a{n}x{j}" for j in range(300)) + "\n * " + "\n * ".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)) + " tail" * 30))
+    rows = li.scan(spark.createDataFrame(docs + docs[:1], "doc_id long, text string")).collect()
+    names = sorted(FULL_TEXTS)
+    assert {n for n in range(len(names)) if any(r.doc_id == n and r.license == names[n] for r in rows)} == set(range(len(names)))
+    assert sum(r.doc_id == 0 and r.license == names[0] for r in rows) == 2

@@ -55,3 +55,10 @@ def test_cutoffs_hold_their_risk_and_catch_the_bad(spark):
     assert not any(verdict[i] for i, _, _ in bad)
     assert all(verdict[i] for i, _, _ in few)  # too few labels to certify a cutoff
     assert all(r[kept] for r in qr.judge(docs, labels.limit(0))[0].collect())
+
+
+def test_columns_of_any_name_and_repeated_rows(spark):
+    text = " ".join(f"w{j}" for j in range(60))
+    df = spark.createDataFrame([(1, text, "en", "a", "b", "c", "d", 0.5), (1, text, "en", "a", "b", "c", "d", 0.5)], "doc_id long, text string, lang string, __by string, __stratum string, by_ string, kept string, __cut_mean_word_chars double")
+    out, _, kept = qr.judge(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert [(tuple(r)[:8], r[kept]) for r in out.select(*df.columns, kept).collect()] == [(tuple(df.first()), True)] * 2
