@@ -20,7 +20,6 @@ its class, whose id is the smallest non-null one. Repeated rows fall into one cl
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -32,8 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .shared import cut, drop, give_back
-from .tokens import mix
+from .shared import cut, give_back
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LONG = 8 << 20
@@ -54,13 +52,12 @@ def word_blocks(data: bytes, overlap: int) -> Iterator[list[bytes]]:
     yield block
 
 
-def salted_fingerprints(text: str | None, shingle: int, salts: int, seed: int = SEED) -> list[int]:
-    """64-bit SimHashes of the word shingles of a text, A-Z lower-cased; salt 0 takes the hashes as they are."""
+def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
+    """64-bit SimHash of the word shingles of a text, A-Z lower-cased."""
     import xxhash
 
-    hashed, total, ones = xxhash.xxh64_intdigest, 0, np.zeros((salts, 64), np.int64)
-    data = (text or "").encode().lower()
-    for w in word_blocks(data, shingle - 1):
+    hashed, total, ones = xxhash.xxh64_intdigest, 0, np.zeros(64, np.int64)
+    for w in word_blocks((text or "").encode().lower(), shingle - 1):
         if len(w) >= shingle:
             h = [hashed(b" ".join(s), seed) for s in zip(*(w[i:] for i in range(shingle)), strict=False)]
         elif w and not total:
@@ -68,16 +65,8 @@ def salted_fingerprints(text: str | None, shingle: int, salts: int, seed: int =
         else:
             continue
         total += len(h)
-        plain = np.array(h, "<u8")
-        for salt in range(salts):
-            own = mix(plain + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if salt else plain
-            ones[salt] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<u8").ravel().tolist() if total else [0] * salts
-
-
-def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
-    """64-bit SimHash of the word shingles of a text, A-Z lower-cased."""
-    return salted_fingerprints(text, shingle, 1, seed)[0]
+        ones += np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -109,10 +98,8 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def pairs_within(lists: pa.RecordBatch, masks: list[int], distance: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each row's fingerprints that pass the chain budgets of the row's start and then the Hamming check.
-
-    With a reach beyond the distance, all pairs of a row that lie within it count."""
+def pairs_within(lists: pa.RecordBatch, masks: list[int], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each row's fingerprints that pass the chain budgets of the row's start and then the Hamming check."""
     column = lists.column("fps")
     at = column.offsets.to_numpy()
     flat, sizes, starts = column.values.to_numpy(zero_copy_only=False).view(np.uint64), np.diff(at), lists.column("start").to_numpy(zero_copy_only=False)
@@ -120,11 +107,11 @@ def pairs_within(lists: pa.RecordBatch, masks: list[int], distance: int, reach:
 
     def check(a: np.ndarray, b: np.ndarray, s: int) -> None:
         used = np.zeros(len(a), np.int64)
-        for n in range(1, m + 1 if reach <= distance else 1):
+        for n in range(1, m + 1):
             used += np.bitwise_count((a ^ b) & np.uint64(masks[(s + n - 1) % m]))
             ok = used <= n * distance // m
             a, b, used = a[ok], b[ok], used[ok]
-        ok = np.bitwise_count(a ^ b) <= max(distance, reach)
+        ok = np.bitwise_count(a ^ b) <= distance
         left.append(a[ok])
         right.append(b[ok])
 
@@ -174,7 +161,7 @@ def dense_links(fps: DataFrame, distance: int) -> DataFrame:
     return points(distance - distance // 2).join(marked, "point").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def links(classes: DataFrame, distance: int, segments: int, chain: int, bucket: int, reach: int = 0) -> DataFrame:
+def links(classes: DataFrame, distance: int, segments: int, chain: int, bucket: int) -> DataFrame:
     """Links (a, b) among the distinct fingerprints of classes(fp)."""
     masks = ring(segments)
     shapes = [(s, reduce(int.__or__, (masks[(s + i) % segments] for i in p))) for s in range(segments) for p in patterns(segments, chain, distance)]
@@ -185,7 +172,7 @@ def links(classes: DataFrame, distance: int, segments: int, chain: int, bucket:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield stars(*pairs_within(batch, masks, distance, reach))
+            yield stars(*pairs_within(batch, masks, distance))
 
     found = lists.mapInArrow(run, "a long, b long")
     large = counts.where(F.col("n") > bucket).select("key")
@@ -204,138 +191,3 @@ def groups(docs: DataFrame, *, shingle: int = 3, distance: int = 3, segments: in
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = cut(rooted.join(ids, "root").select("fp", "component_id"), "simhash-groups")
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def jaccard(a: str, b: str, n: int) -> float:
-    """Of the sets of n-word shingles, A-Z lower-cased; texts with fewer words are one shingle."""
-    x, y = ({b" ".join(s) for s in zip(*(w[i:] for i in range(n)), strict=False)} or {b" ".join(w)} for w in (a.encode().lower().split(), b.encode().lower().split()))
-    return len(x & y) / len(x | y)
-
-
-#: Undecided documents of a group from which on they are compared by a join and not in one task, and how often at most.
-CROWD, ROUNDS = 512, 4
-
-
-def text_prints(docs: DataFrame, shingle: int, salts: int) -> DataFrame:
-    """(doc_id, k, c, fp0, fp1, ...) of every row of docs(doc_id, text): two hashes of the text, and its fingerprint of each salt."""
-    names = [f"fp{salt}" for salt in range(salts)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([salted_fingerprints(t.as_py(), shingle, salts) for t in batch.column("text")], np.uint64).view(np.int64).reshape(-1, salts)
-            columns = [*(batch.column(x) for x in ("doc_id", "k", "c")), *(pa.array(fps[:, salt]) for salt in range(salts))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "c", *names])
-        give_back()
-
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("k"), F.crc32(text.cast("binary")).alias("c"), text.alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, c long, {', '.join(f'{x} long' for x in names)}")
-
-
-def text_groups(kinds: DataFrame, salts: int, distance: int, reach: int, segments: int, chain: int, bucket: int) -> DataFrame:
-    """(k, component) of the texts of kinds(k, fp0, fp1, ...) that are linked to others through the fingerprints of any salt."""
-    edges = []
-    for salt in range(salts):
-        own = kinds.select("k", F.col(f"fp{salt}").alias("fp"))
-        classes = cut(own.groupBy("fp").agg(F.min("k").alias("top"), F.count("*").alias("n")), "simhash-classes")
-        stars = components(links(classes, distance, segments, chain, bucket, reach))  # at most one row for each fingerprint
-        found = cut(stars.select(F.col("node").alias("a"), F.col("component").alias("b")), "simhash-links")
-        same = own.join(classes.where("n > 1").select("fp", "top"), "fp").select(F.col("k").alias("a"), F.col("top").alias("b"))
-        left, right = (classes.select(F.col("fp").alias(x), F.col("top").alias(y)) for x, y in (("a", "x"), ("b", "y")))
-        linked = found.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges.append(cut(linked.union(same), "simhash-edges"))
-        drop(classes)
-        drop(found)
-        kinds.sparkSession._jvm.System.gc()  # Spark deletes shuffle files once the driver has collected their plans
-    roots = components(reduce(DataFrame.union, edges))
-    for own in edges:
-        drop(own)
-    return roots.select(F.col("node").alias("k"), "component").union(roots.select(F.col("component").alias("k"), "component").distinct())
-
-
-def prefix(text: str, similarity: float, n: int) -> list[int]:
-    """The smallest shingle hashes of a text: of two texts as similar as that, these have one in common."""
-    import xxhash
-
-    w = text.encode().lower().split()
-    own = sorted({xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(w[i:] for i in range(n)), strict=False)} or {xxhash.xxh64_intdigest(b" ".join(w), SEED)})
-    return own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
-
-
-def followers(undecided: DataFrame, similarity: float, words: int, kind: str) -> DataFrame:
-    """(doc_id, k) of the documents that are similar to one before them which stays, group by group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, last, index = None, None, {}
-        for batch in batches:
-            gone = []
-            for component, doc_id, k, text in zip(*(batch.column(x).to_pylist() for x in ("component", "doc_id", "k", "text")), strict=True):
-                if component != group:
-                    group, last, index = component, None, {}
-                if (doc_id, k) == last:  # a repeated row
-                    gone.append(False)
-                    continue
-                last, own = (doc_id, k), prefix(text, similarity, words)
-                others = {id(t): t for h in own for t in index.get(h, ())}
-                gone.append(any(jaccard(text, t, words) >= similarity for t in others.values()))
-                if not gone[-1]:
-                    for h in own:
-                        index.setdefault(h, []).append(text)
-            yield batch.filter(pa.array(gone, pa.bool_())).select(["doc_id", "k"])
-        give_back()
-
-    ordered = undecided.select("component", "doc_id", "k", "text").repartition("component").sortWithinPartitions("component", "doc_id", "k")
-    return ordered.mapInArrow(run, f"doc_id {kind}, k long")
-
-
-def surplus(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, distance: int = 5, reach: int = 8, salts: int = 4, segments: int = 8, chain: int = 6, bucket: int = 1 << 14) -> DataFrame:
-    """(doc_id, k) of documents that some other one stands for: k is the text's hash.
-
-    Equal texts are one, with the smallest id. Links of fingerprints make groups of texts: pairs within `distance` are
-    linked, and those within `reach` that share a blocking key, by the fingerprints of any of `salts` salts. In the order
-    of ids, a document of a group goes if its shingles of `words` words are similar to those of one that stays. The first
-    of each group is compared with all others by joins, as long as groups are large; the rest of a group is gone through
-    in one task, where an index of the texts that stay finds the similar ones.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut(text_prints(docs.where("doc_id IS NOT NULL"), 3, salts), "simhash-prints")
-    kinds = cut(prints.groupBy("k", "c").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), *(F.min(f"fp{salt}").alias(f"fp{salt}") for salt in range(salts))), "simhash-kinds")
-    copies = prints.join(kinds.where("first_id < last_id").select("k", "c", "first_id"), ["k", "c"]).where("doc_id <> first_id").select("doc_id", "k")
-    gone = [cut(copies.distinct(), "simhash-copies")]
-    member = kinds.join(text_groups(kinds, salts, distance, reach, segments, chain, bucket), "k").select(F.col("first_id").alias("doc_id"), "k", "component")
-    text = F.coalesce("text", F.lit(""))
-    undecided = cut(docs.select("doc_id", F.xxhash64(text).alias("k"), text.alias("text")).join(member, ["doc_id", "k"]), "simhash-suspects")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            near = [jaccard(a, b, words) >= similarity for a, b in zip(texts, batch.column("other").to_pylist(), strict=True)]
-            left = pa.array([None if x else t for x, t in zip(near, texts, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("component", "doc_id", "k")), left], names=["component", "doc_id", "k", "text"])
-        give_back()
-
-    for _ in range(ROUNDS):
-        most = undecided.groupBy("component").count().agg(F.max("count")).first()[0]
-        if (most or 0) <= CROWD:
-            break
-        stand = undecided.groupBy("component").agg(F.min(F.struct("doc_id", "k", "text")).alias("s")).select("component", F.col("s.doc_id").alias("s_id"), F.col("s.k").alias("s_k"), F.col("s.text").alias("other"))
-        pairs = undecided.join(stand, "component").where("doc_id <> s_id OR k <> s_k").select("component", "doc_id", "k", "text", "other")
-        judged = cut(pairs.mapInArrow(run, f"component long, doc_id {kind}, k long, text string"), "simhash-judged")
-        gone.append(judged.where("text IS NULL").select("doc_id", "k"))
-        undecided = judged.where("text IS NOT NULL")
-    gone.append(followers(undecided, similarity, words, kind))
-    return reduce(DataFrame.union, gone).distinct()
-
-
-def dedup(docs: DataFrame, **how) -> DataFrame:
-    """docs without surplus documents; of rows that repeat id and text one stays. Rows with a null id stay."""
-    k = F.xxhash64(F.coalesce("text", F.lit("")))
-    gone = cut(surplus(docs, **how), "simhash-surplus").withColumnsRenamed({"doc_id": "__id", "k": "__k"})
-    left = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (k == F.col("__k")), "left_anti")
-    twice = cut(docs.where("doc_id IS NOT NULL").select("doc_id", k.alias("k")).groupBy("doc_id", "k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("k").alias("__k")), "simhash-repeats")
-    if twice.isEmpty():
-        return left
-    same = (F.col("doc_id") == F.col("__id")) & (k == F.col("__k"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = left.join(twice, same).select("__id", "__k", row.alias("row")).groupBy("__id", "__k").agg(F.first("row").alias("row"))
-    return left.join(twice, same, "left_anti").union(once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
