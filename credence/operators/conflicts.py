@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..plans import State
 from ..schema import FUNCTIONAL, LIVE, OBJECT_SIMILARITY, PREDICATE_SIMILARITY, SUBJECT_SIMILARITY
+from ..tables import cut
 
 
 def live(state: State) -> DataFrame:
@@ -48,25 +53,77 @@ def ranked(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy("already_linked", F.desc("functional"), "claim_a", "claim_b")
 
 
+def linked_conflicts(state: State) -> DataFrame:
+    """The pairs of detect() that a conflict edge links, found from the edges and not from all pairs."""
+    one = live(state).groupBy("s", "p", "o").agg(F.min_by(F.struct("claim_id", "created_seq", "subj", "pred", "obj"), "created_seq").alias("c"))
+    one = one.select("s", "p", "o", "c.*")
+    links = linked_pairs(state)
+    ends = links.select(F.col("low").alias("x"), F.col("high").alias("y")).union(links.select("high", "low"))
+    a, b = (one.select(*[F.col(c).alias(f"{n}_{c}") for c in one.columns]) for n in ("a", "b"))
+    pairs = ends.join(a, F.col("x") == F.col("a_claim_id")).join(b, F.col("y") == F.col("b_claim_id")).where("a_s = b_s AND a_p = b_p AND a_o <> b_o AND a_created_seq < b_created_seq")
+    return pairs.select(
+        F.col("a_claim_id").alias("claim_a"), F.col("b_claim_id").alias("claim_b"), F.col("a_subj").alias("subject"), F.col("a_pred").alias("predicate"),
+        F.col("a_obj").alias("object_a"), F.col("b_obj").alias("object_b"), F.col("a_p").isin(*FUNCTIONAL).alias("functional"),
+    )
+
+
 def similar(strings: DataFrame, threshold: float) -> DataFrame:
     """(a, b, sim) of all pairs a < b of distinct normalised strings(n) whose token sets have at least that Jaccard similarity.
 
     Exact, by prefix filter: with tokens in ascending order of frequency, two sets that similar share a token among the
-    first |t| - ceil(threshold * |t|) + 1 of each. Only prefixes are joined, so frequent tokens hardly ever are.
+    first |t| - ceil(threshold * |t|) + 1 of each. Only ids and sizes are joined on these tokens, so rare ones decide;
+    token sets join the pairs that are left, once each.
     """
     if threshold <= 0:
         raise ValueError("a threshold of 0 would return all pairs")
-    sets = strings.select("n").distinct().withColumn("t", fn.token_set(F.col("n")))
-    often = sets.select(F.explode("t").alias("token")).groupBy("token").count()
-    order = sets.select("n", F.explode("t").alias("token")).join(often, "token").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("x"))
-    tokens = order.select("n", F.transform("x", lambda x: x["token"]).alias("t"))
-    head = F.slice("t", F.lit(1), F.size("t") - F.ceil(threshold * F.size("t") - F.lit(1e-9)).cast("int") + 1)
-    keyed = tokens.select("n", "t", F.explode(head).alias("token"))
-    a, b = keyed.select("token", F.col("n").alias("a"), F.col("t").alias("ta")), keyed.select("token", F.col("n").alias("b"), F.col("t").alias("tb"))
-    fits = (F.col("a") < F.col("b")) & (F.size("ta") >= threshold * F.size("tb") - 1e-9) & (F.size("tb") >= threshold * F.size("ta") - 1e-9)
-    # a pair is kept at the first token that both prefixes hold, so it comes out once and needs no distinct
-    scored = a.join(b, "token").where(fits).withColumn("sim", fn.jaccard(F.col("ta"), F.col("tb"))).where(F.col("sim") >= threshold)
-    return scored.groupBy("a", "b").agg(F.first("sim").alias("sim"))
+    sets = cut(strings.select("n").distinct().withColumns({"id": F.monotonically_increasing_id(), "t": fn.token_set(F.col("n"))}), "similar-sets")
+    tokens = sets.select("id", F.explode("t").alias("token"))
+    often = tokens.groupBy("token").count()
+    ranked_tokens = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("x"))
+    size = F.size("x")
+    head = F.slice("x.token", F.lit(1), size - F.ceil(threshold * size - F.lit(1e-9)).cast("int") + 1)
+    keyed = cut(ranked_tokens.select("id", size.alias("size"), F.explode(head).alias("token")), "similar-prefixes")
+    a, b = (keyed.select("token", F.col("id").alias(x), F.col("size").alias(f"n{x}")) for x in ("a", "b"))
+    fits = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
+    pairs = a.join(b, "token").where(fits).select("a", "b").distinct()
+    x, y = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("t").alias(f"t{c}")) for c in ("a", "b"))
+    scored = pairs.join(x, "a").join(y, "b").withColumn("sim", fn.jaccard(F.col("ta"), F.col("tb"))).where(F.col("sim") >= threshold)
+    return scored.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "sim")
+
+
+#: Vectors compared with each other in one task.
+BLOCK = 1024
+
+
+def close(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) of all pairs a < b of distinct strings in vectors(n, v) whose cosine is at least the threshold.
+
+    No filter bounds cosines of any vectors, so all are compared, but in blocks: a row goes to as many tasks as there are
+    blocks, each task multiplies two of them, and only the pairs that count come out. A null or zero vector has cosine 0.
+    """
+    rows = cut(vectors.where("n IS NOT NULL AND v IS NOT NULL").groupBy("n").agg(F.min(F.col("v").cast("array<double>")).alias("v")), "vectors")
+    blocks = max(1, -(-rows.count() // BLOCK))
+    own = F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "n", "v")
+    tasks = dealt.groupBy("x", "y").agg(F.collect_list("own").alias("own"), F.collect_list("n").alias("n"), F.collect_list("v").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, own, n, v in zip(*(batch.column(c) for c in ("x", "y", "own", "n", "v")), strict=True):
+                block, names = own.values.to_numpy(), np.array(n.as_py(), object)
+                matrix = np.array(v.as_py(), float)
+                size = np.linalg.norm(matrix, axis=1, keepdims=True)
+                unit = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
+                left, right = np.flatnonzero(block == x.as_py()), np.flatnonzero(block == y.as_py())
+                sims = np.clip(unit[left] @ unit[right].T, 0, 1)
+                i, j = np.nonzero(sims >= threshold)
+                i, j, sims = left[i], right[j], sims[i, j]
+                keep = names[i] < names[j] if x.as_py() == y.as_py() else np.ones(len(i), bool)
+                a, b = np.minimum(names[i[keep]], names[j[keep]]), np.maximum(names[i[keep]], names[j[keep]])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(sims[keep])], names=["a", "b", "sim"])
+
+    return tasks.mapInArrow(run, "a string, b string, sim double")
 
 
 def both_ways(pairs: DataFrame, strings: DataFrame) -> DataFrame:
@@ -75,16 +132,26 @@ def both_ways(pairs: DataFrame, strings: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "sim").union(pairs.select("b", "a", "sim")).union(same)
 
 
-def fuzzy(state: State, threshold: float | None = None) -> DataFrame:
-    """Candidate pairs whose subjects and predicates are similar but not both equal. The object is scored, not a condition."""
+def fuzzy(state: State, threshold: float | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs whose subjects and predicates are similar but not both equal. The object is scored, not a condition.
+
+    Strings are compared by their token sets, or by the cosine of vectors(text, vector), which some model has made of
+    them; texts are looked up as they are or normalised, and one without a vector is similar to itself alone.
+    """
     subject, predicate = (SUBJECT_SIMILARITY, PREDICATE_SIMILARITY) if threshold is None else (threshold, threshold)
-    c = live(state)
+    c = cut(live(state), "live-claims")
     s, p = c.select(F.col("s").alias("n")), c.select(F.col("p").alias("n"))
-    near_s = both_ways(similar(s, subject), s).withColumnsRenamed({"x": "s", "y": "s2", "sim": "subj_sim"})
-    near_p = both_ways(similar(p, predicate), p).withColumnsRenamed({"x": "p", "y": "p2", "sim": "pred_sim"})
+    by_text = None if vectors is None else cut(vectors.select(fn.normalize(F.col("text")).alias("n"), F.col("vector").alias("v")), "text-vectors")
+    pairs_of = lambda x, bar: similar(x, bar) if by_text is None else close(by_text.join(x.distinct(), "n", "left_semi"), bar)
+    near_s = both_ways(pairs_of(s, subject), s).withColumnsRenamed({"x": "s", "y": "s2", "sim": "subj_sim"})
+    near_p = both_ways(pairs_of(p, predicate), p).withColumnsRenamed({"x": "p", "y": "p2", "sim": "pred_sim"})
     other = c.withColumnsRenamed({x: f"{x}2" for x in c.columns})
     pairs = c.join(near_s, "s").join(near_p, "p").join(other, ["s2", "p2"]).where("created_seq < created_seq2 AND NOT (s = s2 AND p = p2)")
     osim = fn.similarity(F.col("o"), fn.token_set(F.col("o")), F.col("o2"), fn.token_set(F.col("o2")))
+    if by_text is not None:
+        one = by_text.groupBy("n").agg(F.min("v").alias("v"))
+        pairs = pairs.join(one.withColumnsRenamed({"n": "o", "v": "ov"}), "o", "left").join(one.withColumnsRenamed({"n": "o2", "v": "ov2"}), "o2", "left")
+        osim = F.when(F.col("o") == F.col("o2"), F.lit(1.0)).otherwise(F.coalesce(fn.cosine(F.col("ov"), F.col("ov2")), F.lit(0.0)))
     functional = F.col("p").isin(*FUNCTIONAL) | F.col("p2").isin(*FUNCTIONAL)
     cites = state.evidence.groupBy("claim_id").agg(F.sort_array(F.collect_set("source_id")).alias("sources"))
     scored = pairs.withColumn("obj_sim", osim).withColumn("relation", F.when(F.col("obj_sim") >= OBJECT_SIMILARITY, "same_object").otherwise("diff_object")).withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import State
 from ..schema import AUTHORITY, BANDS, BELIEVED, CONFIRM, HIGH_CONFIDENCE, PROMOTE, RETIRED
-from .conflicts import detect
+from .conflicts import detect, linked_conflicts
 
 
 def authoritative(state: State) -> DataFrame:
@@ -108,7 +108,7 @@ def misinformation(state: State) -> DataFrame:
 
 
 def authority_contradiction(state: State) -> DataFrame:
-    pairs = detect(state).where("functional AND already_linked")
+    pairs = linked_conflicts(state).where("functional")
     said = F.concat(F.col("subject"), F.lit(" "), F.col("predicate"), F.lit(": "), F.col("object_a"), F.lit(" against "), F.col("object_b"))
     return item(pairs, "authority_contradiction", said, F.col("claim_a"), F.col("claim_b"))
 

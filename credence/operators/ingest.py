@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..plans import State
-from ..schema import ANALYTIC, BANDS, METHODS, STATUSES
+from ..schema import ALIASES, ANALYTIC, BANDS, METHODS, STATUSES
+from ..sources import stamp
+from ..tables import cut
 
 _ENUMS = {"epistemic_status": STATUSES, "likelihood_band": BANDS, "analytic_confidence": ANALYTIC, "confidence_method": METHODS}
 
@@ -26,6 +28,12 @@ def claim_rows(batch: DataFrame) -> DataFrame:
     return batch.select("sources", F.posexplode("claims").alias("i", "c"))
 
 
+def hint(x: Column) -> Column:
+    """What a value of a wrong field may have been meant for: a spelling of another vocabulary."""
+    found = F.coalesce(*[F.element_at(F.create_map(*[F.lit(y) for kv in known.items() for y in kv]), F.lower(F.trim(x))) for known in ALIASES.values()])
+    return F.coalesce(F.concat(F.lit(" (did you mean "), found, F.lit("?)")), F.lit(""))
+
+
 def claim_errors(c: Column, source_aliases: Column, claim_aliases: Column) -> Column:
     """The messages of every rule that a claim breaks, as an array."""
     tests = [
@@ -35,15 +43,27 @@ def claim_errors(c: Column, source_aliases: Column, claim_aliases: Column) -> Co
     ]
     for field, allowed in _ENUMS.items():
         x, good = c[field], fn.coerce(field, c[field])
-        tests.append((x.isNotNull() & ~good.isin(allowed), F.concat(F.lit(f"{field}: unknown value "), x)))
+        tests.append((x.isNotNull() & ~good.isin(allowed), F.concat(F.lit(f"{field}: unknown value "), x, F.lit(f"; one of {', '.join(allowed)} is required"), hint(x))))
     score = c["confidence_score"].try_cast("double")
     tests.append((c["confidence_score"].isNotNull() & ~F.coalesce(score.between(0, 1), F.lit(False)), F.lit("confidence_score: a number in 0..1 is required")))
     for field in ("t_valid", "t_invalid"):
         tests.append((~_blank(c[field]) & fn.utc(c[field]).isNull(), F.concat(F.lit(f"{field}: not an ISO-8601 time: "), c[field])))
     flat = F.array_compact(F.array(*[F.when(bad, text) for bad, text in tests]))
     none = F.array().cast("array<string>")
-    cited = F.transform(F.coalesce(c["evidence"], F.array().cast("array<struct<source:string,quote:string,locator:string>>")), lambda e: F.when(_blank(e["source"]), F.lit("evidence: a source is required")).when(e["source"].startswith("@") & ~F.array_contains(source_aliases, e["source"]), F.concat(F.lit("evidence: unresolved alias "), e["source"])))
-    deps = F.transform(F.coalesce(c["depends_on"], none), lambda d: F.when(d.startswith("@"), F.when(~F.array_contains(claim_aliases, d), F.concat(F.lit("depends_on: unresolved alias "), d))).when(~d.startswith("clm_") & F.coalesce(_blank(_triple(d)["s"]) | _blank(_triple(d)["p"]) | _blank(_triple(d)["o"]), F.lit(True)), F.concat(F.lit("depends_on: no alias, id or triple: "), d)))
+
+    def source_error(e: Column) -> Column:
+        missing = e["source"].startswith("@") & ~F.array_contains(source_aliases, e["source"])
+        return F.when(_blank(e["source"]), F.lit("evidence: a source is required")).when(missing, F.concat(F.lit("evidence: unresolved alias "), e["source"]))
+
+    def parent_error(d: Column) -> Column:
+        named = F.when(~F.array_contains(claim_aliases, d), F.concat(F.lit("depends_on: unresolved alias "), d))
+        t = _triple(d)
+        broken = F.coalesce(_blank(t["s"]) | _blank(t["p"]) | _blank(t["o"]), F.lit(True))
+        return F.when(d.startswith("@"), named).when(~d.startswith("clm_") & broken, F.concat(F.lit("depends_on: no alias, id or triple: "), d))
+
+    no_evidence = F.array().cast("array<struct<source:string,quote:string,locator:string>>")
+    cited = F.transform(F.coalesce(c["evidence"], no_evidence), source_error)
+    deps = F.transform(F.coalesce(c["depends_on"], none), parent_error)
     return F.concat(flat, F.array_compact(cited), F.array_compact(deps))
 
 
@@ -62,35 +82,67 @@ def validate(batch: DataFrame) -> DataFrame:
 
 
 def events(batch: DataFrame, state: State, topic: str, run_id: str, first_seq: int = 1) -> DataFrame:
-    """Log rows of a valid batch: the run, the sources, then each claim that is new followed by its new evidence.
+    """Log rows of valid batch documents, one document after another: the run, the sources, then each claim that is new
+    followed by its new evidence.
 
-    A claim that exists is skipped but its evidence is added; a claim that a batch holds twice is created twice, which the
-    fold undoes. Evidence that the batch repeats is added once.
+    Aliases hold within their document; of equal ones the last counts. All documents see the state before the batch: a
+    claim that exists is skipped but its evidence is added; a claim that the batch holds twice is created twice, which the
+    fold undoes; evidence that it repeats is added once. Documents without a run of their own are attributed to none.
     """
-    stamp = {"v": F.lit(1), "topic": F.lit(topic), "t_created": F.current_timestamp(), "agent_run": F.lit(run_id)}
-    run = batch.where("agent_run IS NOT NULL").select(F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit("agent_run_started").alias("event"), F.coalesce("agent_run.run_id", F.lit(run_id)).alias("run_id"), "agent_run.role", "agent_run.model", "agent_run.task")
-    sources = batch.select(F.posexplode("sources").alias("o2", "s")).select(F.lit(1).alias("o1"), "o2", F.lit("source_registered").alias("event"), fn.source_id(F.col("s.uri")).alias("source_id"), "s.uri", "s.title", "s.origin", F.col("s.authority").try_cast("double").alias("authority"), "s.credibility", "s.retrieved_at")
-    uris = F.map_from_entries(F.filter(F.transform("sources", lambda s: F.struct(F.coalesce(s["alias"], F.lit("")).alias("k"), s["uri"].alias("v"))), lambda e: e["k"] != ""))
-    rows = batch.withColumn("uris", uris).select("uris", F.posexplode("claims").alias("i", "c"))
-    topic_col = F.lit(topic)
-    ids = rows.withColumn("claim_id", fn.claim_id(topic_col, F.col("c.assertion.s"), F.col("c.assertion.p"), F.col("c.assertion.o")))
-    alias_ids = ids.where("c.alias IS NOT NULL").select(F.col("c.alias").alias("alias"), F.col("claim_id").alias("to_id"))
-    deps = ids.select("i", F.posexplode("c.depends_on").alias("j", "dep")).join(alias_ids, F.col("dep") == F.col("alias"), "left")
-    triple = _triple(F.col("dep"))
-    resolved = deps.select("i", "j", F.when(F.col("dep").startswith("@"), F.col("to_id")).when(F.col("dep").startswith("clm_"), F.col("dep")).otherwise(fn.claim_id(topic_col, triple["s"], triple["p"], triple["o"])).alias("dep_id"))
-    parents = resolved.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "dep_id"))), lambda x: x["dep_id"]).alias("deps"))
+    docs = cut(batch.withColumn("doc", F.monotonically_increasing_id()), "batch")
+    own_run = F.when(F.col("agent_run").isNotNull(), F.coalesce("agent_run.run_id", F.lit(run_id)))
+    docs = docs.withColumn("own_run", own_run)
+    run = docs.where("own_run IS NOT NULL").select(
+        "doc", F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit("agent_run_started").alias("event"),
+        F.col("own_run").alias("run_id"), "agent_run.role", "agent_run.model", "agent_run.task",
+    )
+    listed = docs.select("doc", F.posexplode("sources").alias("o2", "s"))
+    sources = listed.select(
+        "doc", F.lit(1).alias("o1"), "o2", F.lit("source_registered").alias("event"), fn.source_id(F.col("s.uri")).alias("source_id"),
+        "s.uri", "s.title", "s.origin", F.col("s.authority").try_cast("double").alias("authority"), "s.credibility", "s.retrieved_at",
+    )
+    ids = docs.select("doc", F.posexplode("claims").alias("i", "c")).withColumn("claim_id", claim_key(topic))
+    parents = resolved_parents(ids, topic).groupBy("doc", "i").agg(F.sort_array(F.collect_list(F.struct("j", "dep_id"))).alias("deps"))
     none = F.array().cast("array<string>")
-    claim = ids.join(state.claims.select("claim_id"), "claim_id", "left_anti").join(parents, "i", "left").select(
-        (F.col("i") + 2).alias("o1"), F.lit(-1).alias("o2"), F.lit("claim_created").alias("event"), "claim_id", "c.assertion", "c.warrant", *[F.coalesce(f"c.{x}", none).alias(x) for x in ("backing", "rebuttal_conditions", "grounds")],
-        F.coalesce(fn.coerce("epistemic_status", F.col("c.epistemic_status")), F.lit("hypothesized")).alias("epistemic_status"), *[fn.coerce(x, F.col(f"c.{x}")).alias(x) for x in ("likelihood_band", "analytic_confidence", "confidence_method")],
-        F.col("c.confidence_score").try_cast("double").alias("confidence_score"), "c.method", fn.utc(F.col("c.t_valid")).alias("t_valid"), fn.utc(F.col("c.t_invalid")).alias("t_invalid"), F.coalesce("deps", none).alias("depends_on"),
+    new = ids.join(state.claims.select("claim_id"), "claim_id", "left_anti").join(parents, ["doc", "i"], "left")
+    claim = new.select(
+        "doc", (F.col("i") + 2).alias("o1"), F.lit(-1).alias("o2"), F.lit("claim_created").alias("event"), "claim_id", "c.assertion", "c.warrant",
+        *[F.coalesce(f"c.{x}", none).alias(x) for x in ("backing", "rebuttal_conditions", "grounds")],
+        F.coalesce(fn.coerce("epistemic_status", F.col("c.epistemic_status")), F.lit("hypothesized")).alias("epistemic_status"),
+        *[fn.coerce(x, F.col(f"c.{x}")).alias(x) for x in ("likelihood_band", "analytic_confidence", "confidence_method")],
+        F.col("c.confidence_score").try_cast("double").alias("confidence_score"), "c.method",
+        *[fn.utc(F.col(f"c.{x}")).alias(x) for x in ("t_valid", "t_invalid")], F.coalesce("deps.dep_id", none).alias("depends_on"),
     )
-    cited = ids.select("uris", "i", "claim_id", F.posexplode("c.evidence").alias("o2", "e"))
-    ref = F.when(F.col("e.source").startswith("@"), fn.source_id(F.element_at("uris", F.col("e.source")))).otherwise(fn.source_ref(F.col("e.source")))
-    evidence = cited.select((F.col("i") + 2).alias("o1"), "o2", F.lit("evidence_added").alias("event"), "claim_id", ref.alias("source_id"), "e.quote", "e.locator").withColumn("evidence_id", fn.evidence_id(F.col("claim_id"), F.col("source_id"), F.col("locator")))
-    evidence = evidence.join(state.evidence.select("evidence_id"), "evidence_id", "left_anti")
-    evidence = evidence.groupBy("evidence_id").agg(F.min_by(F.struct("o1", "o2", "event", "claim_id", "source_id", "quote", "locator"), F.struct("o1", "o2")).alias("r")).select("evidence_id", "r.*")
-    out = run.unionByName(sources, allowMissingColumns=True).unionByName(claim, allowMissingColumns=True).unionByName(evidence, allowMissingColumns=True)
-    n = F.row_number().over(Window.orderBy("o1", "o2"))  # one batch document
-    out = out.withColumn("seq", (n + F.lit(first_seq - 1)).cast("long")).drop("o1", "o2").withColumns(stamp)
-    return out.withColumn("event_id", F.concat(F.lit("evt_"), fn.hash16(F.to_json(F.struct("*")))))
+    evidence = new_evidence(ids, listed, state)
+    rows = run.unionByName(sources, allowMissingColumns=True).unionByName(claim, allowMissingColumns=True).unionByName(evidence, allowMissingColumns=True)
+    rows = rows.join(docs.select("doc", F.col("own_run").alias("agent_run")), "doc")
+    # sorted by ranges, so these numbers ascend over the partitions; gaps don't matter to seq
+    ordered = rows.orderBy("doc", "o1", "o2").withColumn("seq", F.monotonically_increasing_id() + F.lit(first_seq))
+    return stamp(ordered.drop("doc", "o1", "o2"), topic)
+
+
+def claim_key(topic: str) -> Column:
+    return fn.claim_id(F.lit(topic), F.col("c.assertion.s"), F.col("c.assertion.p"), F.col("c.assertion.o"))
+
+
+def resolved_parents(ids: DataFrame, topic: str) -> DataFrame:
+    """(doc, i, j, dep_id): the j-th dependency of the i-th claim of a document, given by alias, id or triple."""
+    named = ids.where("c.alias IS NOT NULL").groupBy("doc", F.col("c.alias").alias("dep")).agg(F.max_by("claim_id", "i").alias("named_id"))
+    deps = ids.select("doc", "i", F.posexplode("c.depends_on").alias("j", "dep")).join(named, ["doc", "dep"], "left")
+    triple = _triple(F.col("dep"))
+    by_triple = fn.claim_id(F.lit(topic), triple["s"], triple["p"], triple["o"])
+    dep_id = F.when(F.col("dep").startswith("@"), F.col("named_id")).when(F.col("dep").startswith("clm_"), F.col("dep")).otherwise(by_triple)
+    return deps.select("doc", "i", "j", dep_id.alias("dep_id"))
+
+
+def new_evidence(ids: DataFrame, listed: DataFrame, state: State) -> DataFrame:
+    """Evidence rows that the state lacks; of repeated ones the first. listed(doc, o2, s): the documents' sources."""
+    named = listed.where("s.alias IS NOT NULL AND s.alias <> ''").groupBy("doc", F.col("s.alias").alias("ref")).agg(F.max_by("s.uri", "o2").alias("uri"))
+    cited = ids.select("doc", "i", "claim_id", F.posexplode("c.evidence").alias("o2", "e")).withColumn("ref", F.col("e.source")).join(named, ["doc", "ref"], "left")
+    source = F.when(F.col("ref").startswith("@"), fn.source_id(F.col("uri"))).otherwise(fn.source_ref(F.col("ref")))
+    rows = cited.select("doc", (F.col("i") + 2).alias("o1"), "o2", F.lit("evidence_added").alias("event"), "claim_id", source.alias("source_id"), "e.quote", "e.locator")
+    rows = rows.withColumn("evidence_id", fn.evidence_id(F.col("claim_id"), F.col("source_id"), F.col("locator")))
+    rows = rows.join(state.evidence.select("evidence_id"), "evidence_id", "left_anti")
+    order = F.struct("doc", "o1", "o2")
+    one = rows.groupBy("evidence_id").agg(F.min_by(F.struct("doc", "o1", "o2", "event", "claim_id", "source_id", "quote", "locator"), order).alias("r"))
+    return one.select("evidence_id", "r.*")

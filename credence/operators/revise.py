@@ -5,14 +5,16 @@ The caller appends them with sources.append; nothing here writes. Commands that
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..plans import State
 from ..schema import CONFLICT_TYPES, METHODS, STATUSES, TRANSITIONS
-from ..sources import event_rows
-from . import lineage
+from ..sources import event_rows, stamp
+from . import guard, lineage
 
 
 class Command:
@@ -40,12 +42,12 @@ class Command:
         # sorted by ranges, so these numbers ascend over the partitions; gaps don't matter to seq
         ordered = found.orderBy("level", "claim_id").withColumn("n", F.monotonically_increasing_id())
         rows = ordered.select((F.col("n") + F.lit(self.next_seq + after)).alias("seq"), "claim_id", "from", F.lit("needs_review").alias("to"), "reason")
-        stamp = F.current_timestamp()
-        rows = rows.withColumns({"v": F.lit(1), "event": F.lit("status_changed"), "topic": F.lit(self.topic), "t_created": stamp, "agent_run": F.lit(self.run).cast("string")})
-        rows = rows.withColumn("event_id", F.concat(F.lit("evt_"), fn.hash16(F.to_json(F.struct("event", "topic", "t_created", "claim_id", "from", "to", "reason")))))
-        return template.limit(0).unionByName(rows, allowMissingColumns=True)
+        rows = rows.withColumns({"event": F.lit("status_changed"), "agent_run": F.lit(self.run).cast("string")})
+        return template.limit(0).unionByName(stamp(rows, self.topic), allowMissingColumns=True)
 
     def add_source(self, uri: str, **more) -> DataFrame:
+        """retrieved_at is now unless it is given."""
+        more = more | {"retrieved_at": more.get("retrieved_at") or datetime.now(UTC).isoformat(timespec="microseconds")}
         sid = self.spark.range(1).select(fn.source_id(F.lit(uri))).first()[0]
         return self.rows(("source_registered", {"source_id": sid, "uri": uri, **more}))
 
@@ -65,6 +67,15 @@ class Command:
             raise ValueError("a known method and a score in 0..1 are needed")
         return self.rows(("confidence_recalibrated", {"claim_id": claim_id, "old_score": self.claim(claim_id)["confidence_score"], "new_score": score, "method": method}))
 
+    def promote(self, claim_id: str, to: str | None = None, reason: str | None = None) -> DataFrame:
+        """To the status given, or to the highest one that its authoritative sources and its score carry."""
+        self.claim(claim_id)
+        able = guard.promotion(self.state).where(F.col("claim_id") == claim_id).first()
+        best = "confirmed" if able["eligible_confirmed"] else "corroborated" if able["eligible_corroborated"] else None
+        if to is None and best is None:
+            raise ValueError(f"{claim_id} is not eligible for promotion")
+        return self.change_status(claim_id, to or best, reason or "promotion")
+
     def trigger_rebuttal(self, claim_id: str, condition: str, evidence: str | None = None) -> DataFrame:
         self.claim(claim_id)
         return self.rows(("rebuttal_triggered", {"claim_id": claim_id, "condition": condition, "evidence": evidence}))

@@ -73,6 +73,43 @@ walk AS (SELECT claim_id, CAST(NULL AS VARCHAR) AS via, 0 AS level FROM direct U
 """
 
 
+
+
+def _after(seeds: str, note: str, reason: str, changed: str) -> str:
+    """Claims of the hierarchy after a command. seeds: claims whose dependents are flagged; changed: rows (claim_id, status, flag,
+    why, superseded_by, retracted_by) of the claims that the command itself changes; flags come after it."""
+    able = "s NOT IN ('needs_review', 'superseded', 'retracted')"
+    return f"""
+WITH RECURSIVE claims AS (
+  SELECT claim_id, parent, ({_list(STATUSES)})[k % 8 + 1] AS s FROM ({HIERARCHY[HIERARCHY.index("SELECT"):HIERARCHY.index("),")]})),
+seeds AS ({seeds}),
+walk AS (SELECT claim_id, CAST(NULL AS VARCHAR) AS via, 0 AS level FROM seeds UNION SELECT c.claim_id, c.parent, w.level + 1 FROM walk w JOIN claims c ON c.parent = w.claim_id),
+found AS (SELECT claim_id, min(level) AS level, arg_min(via, level) AS via FROM walk GROUP BY claim_id),
+flags AS (SELECT claim_id, CASE WHEN level = 0 THEN {note} ELSE {reason} || ' (upstream ' || substr(via, 1, 12) || ')' END AS why FROM found JOIN claims USING (claim_id)
+  WHERE {able} AND (level > 0 OR {note} IS NOT NULL)),
+changed AS ({changed})
+SELECT c.claim_id, CASE WHEN f.why IS NOT NULL THEN 'needs_review' ELSE coalesce(x.status, c.s) END AS epistemic_status, f.why IS NOT NULL OR coalesce(x.flag, false) AS needs_review,
+  coalesce(f.why, x.why) AS review_reason, x.superseded_by, x.retracted_by
+FROM claims c LEFT JOIN flags f USING (claim_id) LEFT JOIN changed x USING (claim_id)"""
+
+
+def _own(claim: str, status: str, flag: str = "false", why: str = "NULL", by: str = "NULL", who: str = "NULL") -> str:
+    return f"SELECT '{claim}' AS claim_id, '{status}' AS status, {flag} AS flag, CAST({why} AS VARCHAR) AS why, CAST({by} AS VARCHAR) AS superseded_by, CAST({who} AS VARCHAR) AS retracted_by"
+
+
+_NOBODY = _own("none", "none") + " WHERE false"
+_SID = f"substr('src_' || substr(sha256(lower('{SOURCE}')), 1, 16), 1, 12)"
+_DIRECT = HIERARCHY[HIERARCHY.index("direct AS (") + len("direct AS (") : HIERARCHY.index("walk AS (")].strip().rstrip(",").rstrip(")")
+_EFFECTS = {
+    "discredit_effects": _after(_DIRECT, f"'cites discredited source ' || {_SID}", f"'depends on claim citing discredited source ' || {_SID}", _NOBODY),
+    "retract_effects": _after("SELECT 'clm_nation_4' AS claim_id", "NULL", "'depends on retracted claim clm_nation_4'", _own("clm_nation_4", "retracted", who="'me'")),
+    "supersede_effects": _after("SELECT 'clm_region_1' AS claim_id", "NULL", "'depends on superseded claim clm_region_1'", _own("clm_region_1", "superseded", by="'clm_region_2'")),
+    "invalidate_effects": _after("SELECT 'clm_region_3' AS claim_id", "NULL", "'depends on invalidated claim clm_region_3'", _own("clm_region_3", "disputed")),
+    "status_effects": _after("SELECT 'none' AS claim_id", "NULL", "NULL", _own("clm_nation_9", "confirmed")),
+    "rebuttal_effects": _after("SELECT 'none' AS claim_id", "NULL", "NULL", _own("clm_nation_9", "needs_review", "true", "'rebuttal condition met: it moved'")),
+}
+
+
 def _tokens(x: str) -> str:
     """Token set of an ASCII expression that is normalised already."""
     return f"list_distinct(list_concat(list_filter(regexp_split_to_array({x}, '[^a-z0-9_]+'), lambda t: t <> ''), list_transform(range(1, length({x}) + 1), lambda i: substr(' ' || {x} || ' ', i, 3))))"
@@ -142,7 +179,25 @@ ORACLES: dict[str, str] = {
     "transition_legality": "SELECT f AS from_status, t AS to_status, count(*) AS n, [f, t] IN (" + ", ".join(f"['{a}', '{b}']" for a, to in TRANSITIONS.items() for b in to) + ") AS legal FROM (SELECT lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS f, t FROM (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 'corroborated' WHEN event_id % 3 = 0 THEN 'needs_review' ELSE 'probable' END AS t FROM events WHERE event_type = 'view' OR event_type = 'purchase' AND event_id % 4 <> 0)) WHERE f IS NOT NULL GROUP BY f, t",
     "enum_coercion": f"SELECT c_custkey, {_COERCE['analytic_confidence']} AS confidence, {_COERCE['likelihood_band']} AS band FROM (SELECT c_custkey, ({_VALUES})[c_custkey % 8 + 1] AS x FROM customer)",
     "ingest_validate": "WITH k AS (SELECT c_custkey AS k, c_acctbal FROM customer), f AS (SELECT CASE WHEN k % 11 = 0 THEN 'assertion' END AS field FROM k UNION ALL SELECT CASE WHEN k % 7 = 0 THEN 'warrant' END FROM k UNION ALL SELECT CASE WHEN k % 5 = 0 THEN 'rebuttal_conditions' END FROM k UNION ALL SELECT CASE WHEN k % 13 = 0 THEN 'epistemic_status' END FROM k UNION ALL SELECT CASE WHEN c_acctbal / 10000 NOT BETWEEN 0 AND 1 THEN 'confidence_score' END FROM k UNION ALL SELECT CASE WHEN k % 17 = 0 THEN 't_valid' END FROM k UNION ALL SELECT CASE WHEN k % 3 = 0 THEN 'depends_on' END FROM k) SELECT field, count(*) AS n FROM f WHERE field IS NOT NULL GROUP BY field",
+    "ingest_batch": """
+WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, 'clm_' || substr(sha256('customers|' || lower(c_name) || '|in_segment|' || lower(c_mktsegment)), 1, 16) AS claim_id, min(c_custkey) OVER (PARTITION BY c_nationkey) AS f FROM customer),
+s AS (SELECT DISTINCT n, 'src_' || substr(sha256('registry://nation/' || n), 1, 16) AS source_id FROM c)
+SELECT 'agent_run_started' AS event, 'run_' || n AS agent_run, CAST(NULL AS VARCHAR) AS claim_id, CAST(NULL AS VARCHAR) AS source_id, CAST(NULL AS VARCHAR) AS uri, CAST(NULL AS VARCHAR) AS evidence_id, CAST(NULL AS VARCHAR) AS parent FROM s
+UNION ALL SELECT 'source_registered', 'run_' || n, NULL, source_id, 'registry://nation/' || n, NULL, NULL FROM s
+UNION ALL SELECT 'source_registered', 'run_' || n, NULL, 'src_' || substr(sha256('registry://old'), 1, 16), 'registry://old', NULL, NULL FROM s
+UNION ALL SELECT 'claim_created', 'run_' || c.n, c.claim_id, NULL, NULL, NULL, CASE WHEN c.k <> c.f THEN p.claim_id END FROM c JOIN c p ON p.k = c.f WHERE c.k % 2 = 1
+UNION ALL SELECT 'evidence_added', 'run_' || c.n, c.claim_id, s.source_id, NULL, 'evd_' || substr(sha256(c.claim_id || '|' || s.source_id || '|' || c.k), 1, 16), NULL FROM c JOIN s USING (n)""",
+    "ingest_source_rules": "SELECT m AS message, count(*) AS n FROM (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'uri: required' END AS m FROM supplier UNION ALL SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'authority: a number is required' END FROM supplier) WHERE m IS NOT NULL GROUP BY 1",
+    "link_effects": "SELECT 'thr_nation_2_nation_3' AS thread_id, 'misinformation' AS conflict_type, 'closed' AS status, 'done' AS note, claim_id, 'disputed' AS epistemic_status FROM (VALUES ('clm_nation_2'), ('clm_nation_3')) t(claim_id)",
+    "fold_supersedes": "SELECT DISTINCT 'edg_sup_' || (user_id + 1) || '_' || substr(CAST(user_id AS VARCHAR), 1, 8) AS edge_id, 'clm_' || (user_id + 1) AS from_id, 'clm_' || user_id AS to_id FROM events WHERE event_type NOT IN ('signup', 'click', 'purchase', 'view') AND event_id % 3 = 2",
+    "log_from_files": EVENTS + "SELECT 'clm_' || user_id AS claim_id, status AS epistemic_status, flag AS needs_review, why AS review_reason, gone AS t_expired, sup AS superseded_by, ret AS retracted_by, score AS confidence_score, how AS confidence_method FROM final",
+    "top_conflicts": PARTS + "SELECT claim_a, claim_b, functional, already_linked FROM pairs ORDER BY already_linked, functional DESC, claim_a, claim_b LIMIT 50",
+    "fuzzy_scores": PARTS + f""", names AS ({_NAMES}), near AS (SELECT a.n AS x, b.n AS y, {_SIM} AS sim FROM names a JOIN names b ON a.n <> b.n WHERE {_SIM} >= 0.6),
+      objs AS (SELECT DISTINCT lower(obj) AS n, {_tokens('lower(obj)')} AS t FROM claims), osim AS (SELECT a.n AS x, b.n AS y, CASE WHEN a.n = b.n THEN 1.0 ELSE {_SIM} END AS sim FROM objs a JOIN objs b ON true)
+      SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, round_even(near.sim, 3) AS subj_sim, CAST(1.0 AS DOUBLE) AS pred_sim, round_even(CAST(o.sim AS DOUBLE), 3) AS obj_sim, CASE WHEN o.sim >= 0.8 THEN 'same_object' ELSE 'diff_object' END AS relation
+      FROM live a JOIN near ON lower(a.subj) = near.x JOIN live b ON lower(b.subj) = near.y AND a.pred = b.pred AND a.seq < b.seq JOIN osim o ON o.x = lower(a.obj) AND o.y = lower(b.obj)""",
+    "vector_pairs": "SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0, least(1, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.5",
     "ingest_dedup": f"SELECT DISTINCT {_ID.format(p='is_a', o='p_brand')} AS claim_id FROM part",
     "log_scan_guard": "SELECT event_id AS seq, CASE WHEN event_type = 'signup' THEN 'claim_created' WHEN event_type = 'click' THEN 'rebuttal_triggered' WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'confidence_recalibrated' WHEN event_type IN ('view', 'purchase') THEN 'status_changed' WHEN event_id % 3 = 0 THEN 'claim_retracted' WHEN event_id % 3 = 1 THEN 'claim_invalidated' ELSE 'claim_superseded' END AS event, 'clm_' || user_id AS claim_id, ts AS t_created, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'needs_review' ELSE 'probable' END WHEN event_type = 'purchase' THEN 'corroborated' END AS \"to\", value / 500 AS new_score FROM events",
     "queue_needs_review": EVENTS + "SELECT 'clm_' || user_id AS claim_a, why AS detail FROM final WHERE flag",
-} | {f"lint_{k}": PARTS + v for k, v in _LINT.items()} | {f"queue_{k}": PARTS + v for k, v in _QUEUE.items()}
+} | {f"lint_{k}": PARTS + v for k, v in _LINT.items()} | {f"queue_{k}": PARTS + v for k, v in _QUEUE.items()} | _EFFECTS

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..schema import BELIEVED, RETIRED
+from ..tables import cut
 
 _CLAIM_EVENTS = ["claim_created", "status_changed", "confidence_recalibrated", "claim_invalidated", "claim_superseded", "claim_retracted", "rebuttal_triggered"]
 _EXPIRING = ["claim_invalidated", "claim_superseded", "claim_retracted"]
@@ -36,16 +37,12 @@ class State:
         self.log = log if as_of is None else log.where(F.col("t_created") <= as_of)
 
     def shared(self) -> State:
-        """A state of the same log whose tables are folded once and kept, in memory or else on disk, for many rules over them."""
+        """A state of the same log whose tables are folded once and written to the shared folder, for many rules over them."""
         other = State(self.log)
         for name in ("claims", "sources", "evidence", "edges", "threads"):
-            setattr(other, name, getattr(other, name).persist())
+            setattr(other, name, cut(getattr(self, name), f"state-{name}"))
         return other
 
-    def release(self) -> None:
-        for name in ("claims", "sources", "evidence", "edges", "threads"):
-            getattr(self, name).unpersist()
-
     def only(self, *events: str) -> DataFrame:
         return self.log.where(F.col("event").isin(*events))
 

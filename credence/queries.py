@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import starschema as star
 from .operators import conflicts, guard, ingest, lineage, report, temporal
+from .operators.revise import Command
 from .plans import State
+from .sources import read_log
+from .tables import new_path
 
 CUTOFF = "2024-01-15 00:00:00"
 WORLD = "1998-06-01 00:00:00"
@@ -161,8 +164,6 @@ def cascade_flags(spark, sf_dir):
 
 def transition_legality(spark, sf_dir):
     """Of the events' status changes, in order: how many are legal from the status set before."""
-    from pyspark.sql import Window
-
     log = star.events_log(spark, sf_dir).where("event = 'status_changed'").select("seq", "claim_id", "to")
     moves = log.withColumn("from", F.lag("to").over(Window.partitionBy("claim_id").orderBy("seq"))).where("`from` IS NOT NULL").groupBy("from", "to").agg(F.count("*").alias("n"))
     legal = lineage.transitions(spark).withColumn("legal", F.lit(True))
@@ -195,12 +196,113 @@ def ingest_validate(spark, sf_dir):
     return ingest.validate(_batch(spark, sf_dir)).groupBy(F.regexp_extract("message", "^[a-z_]+", 0).alias("field")).agg(F.count("*").alias("n"))
 
 
+_NO_SOURCES = "array<struct<alias:string,uri:string,title:string,origin:string,authority:string,credibility:string,retrieved_at:string>>"
+_NO_RUN = "struct<run_id:string,role:string,model:string,task:string>"
+
+
+def _claim(alias, s, p, o, deps, evidence):
+    """A valid claim of a batch document."""
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    assertion = F.struct(s.alias("s"), p.alias("p"), o.alias("o"), none.alias("nl")).alias("assertion")
+    enums = [none.alias(x) for x in ("epistemic_status", "likelihood_band", "analytic_confidence", "confidence_score", "confidence_method", "method", "t_valid", "t_invalid")]
+    return F.struct(
+        alias.alias("alias"), assertion, F.lit("register").alias("warrant"), F.array(F.lit("moved")).alias("rebuttal_conditions"), empty.alias("grounds"), empty.alias("backing"),
+        *enums, deps.alias("depends_on"), evidence.cast("array<struct<source:string,quote:string,locator:string>>").alias("evidence"),
+    )
+
+
 def ingest_dedup(spark, sf_dir):
-    """Claims of parts that are already known, and new ones, as a batch against the folded state."""
-    state = star.parts(spark, sf_dir)
-    part = star.table(spark, sf_dir, "part")
-    other = part.select(fn.claim_id(F.lit("parts"), F.col("p_name"), F.lit("is_a"), F.col("p_brand")).alias("claim_id")).union(part.select(fn.claim_id(F.lit("parts"), F.upper("p_name"), F.lit("IS_A"), F.col("p_type"))))
-    return other.distinct().join(state.claims.select("claim_id"), "claim_id", "left_anti")
+    """Claims of parts, known and new ones, as batch documents against the folded state: those that are created."""
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    name = F.col("p_name")
+    two = F.array(_claim(none, name, F.lit("is_a"), F.col("p_brand"), empty, F.array()), _claim(none, F.upper(name), F.lit("IS_A"), F.col("p_type"), empty, F.array()))
+    part = star.table(spark, sf_dir, "part").select(two.alias("claims"))
+    docs = part.select(F.lit(None).cast(_NO_RUN).alias("agent_run"), F.lit(None).cast(_NO_SOURCES).alias("sources"), "claims")
+    made = ingest.events(docs, star.parts(spark, sf_dir), "parts", "run")
+    return made.where("event = 'claim_created'").select("claim_id").distinct()
+
+
+def ingest_batch(spark, sf_dir):
+    """Customers as a batch document for each nation, with aliases that repeat from document to document; claims of even keys exist."""
+    c = star.table(spark, sf_dir, "customer").withColumn("first", F.min("c_custkey").over(Window.partitionBy("c_nationkey")))
+    k, empty = F.col("c_custkey"), F.array().cast("array<string>")
+    topic, name, segment = F.lit("customers"), F.col("c_name"), F.col("c_mktsegment")
+    known = c.where(k % 2 == 0).select(
+        k.cast("long").alias("seq"), F.lit("claim_created").alias("event"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("t_created"),
+        fn.claim_id(topic, name, F.lit("in_segment"), segment).alias("claim_id"),
+    )
+    evidence = F.array(F.struct(F.lit("@reg").alias("source"), F.lit(None).cast("string").alias("quote"), k.cast("string").alias("locator")))
+    claim = _claim(F.when(k == F.col("first"), "@first"), name, F.lit("in_segment"), segment, F.when(k == F.col("first"), empty).otherwise(F.array(F.lit("@first"))), evidence)
+    nation = F.col("c_nationkey").cast("string")
+    run = F.struct(F.concat(F.lit("run_"), nation).alias("run_id"), F.lit("seed").alias("role"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("task")).alias("agent_run")
+    source = lambda uri: F.struct(F.lit("@reg").alias("alias"), uri.alias("uri"), *[F.lit(None).cast("string").alias(x) for x in ("title", "origin", "authority", "credibility", "retrieved_at")])
+    # the alias is given twice; the last one counts
+    sources = F.array(source(F.lit("registry://old")), source(F.concat(F.lit("registry://nation/"), nation))).alias("sources")
+    docs = c.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), claim.alias("c")))).alias("x")).select(run, sources, F.col("x.c").alias("claims"))
+    made = ingest.events(docs, State(star.log_of(spark, known)), "customers", "run")
+    return made.select("event", "agent_run", "claim_id", "source_id", "uri", "evidence_id", F.get("depends_on", F.lit(0)).alias("parent"))
+
+
+def ingest_source_rules(spark, sf_dir):
+    """Suppliers as the sources of a batch document for each nation; some lack a URI or have no number as authority."""
+    k = F.col("s_suppkey")
+    source = F.struct(
+        F.lit(None).cast("string").alias("alias"), F.when(k % 3 != 0, F.col("s_name")).alias("uri"), *[F.lit(None).cast("string").alias(x) for x in ("title", "origin")],
+        F.when(k % 4 == 0, "much").otherwise("0.5").alias("authority"), *[F.lit(None).cast("string").alias(x) for x in ("credibility", "retrieved_at")],
+    )
+    s = star.table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(source).alias("sources"))
+    claim = _claim(F.lit(None).cast("string"), F.lit("s"), F.lit("p"), F.lit("o"), F.array().cast("array<string>"), F.array())
+    batch = s.select(F.lit(None).cast(_NO_RUN).alias("agent_run"), "sources", F.array(claim).alias("claims"))
+    return ingest.validate(batch).groupBy("message").agg(F.count("*").alias("n"))
+
+
+def _after(make):
+    """The claims of the hierarchy after a command's rows are appended to its log."""
+
+    def query(spark, sf_dir):
+        log = star.hierarchy(spark, sf_dir).log
+        after = State(star.log_of(spark, log, make(Command(log, "t", "run"))))
+        return after.claims.select("claim_id", "epistemic_status", "needs_review", "review_reason", "superseded_by", "retracted_by")
+
+    return query
+
+
+def link_effects(spark, sf_dir):
+    """Threads after two claims are linked and the thread is closed."""
+    log = star.hierarchy(spark, sf_dir).log
+    log = star.log_of(spark, log, Command(log, "t").link("clm_nation_3", "clm_nation_2", "misinformation", "why"))
+    state = State(star.log_of(spark, log, Command(log, "t").resolve_thread("thr_nation_2_nation_3", "closed", "done")))
+    return state.threads.join(state.claims.select("claim_id", "epistemic_status"), F.col("claim_id").isin(F.col("claim_a"), F.col("claim_b"))).select("thread_id", "conflict_type", "status", "note", "claim_id", "epistemic_status")
+
+
+def fold_supersedes(spark, sf_dir):
+    return State(star.log_of(spark, star.events_log(spark, sf_dir))).edges.where("kind = 'supersedes'").select("edge_id", "from_id", "to_id")
+
+
+def log_from_files(spark, sf_dir):
+    """The events log written as JSON lines, read back through the guards in its order, and folded."""
+    log = star.events_log(spark, sf_dir)
+    fields = ["event", "topic", "claim_id", "old_claim_id", "new_claim_id", "assertion", "epistemic_status", "confidence_score", "confidence_method", "method", "to", "reason", "condition", "new_status", "retracted_by", "new_score"]
+    path = new_path(spark, "events-log")
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields], F.date_format("t_created", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t_created")))
+    log.orderBy("seq").select(line.alias("value")).write.text(path)
+    c = State(read_log(spark, path)).claims
+    return c.select("claim_id", "epistemic_status", "needs_review", "review_reason", F.col("t_expired").cast("timestamp_ntz").alias("t_expired"), "superseded_by", "retracted_by", "confidence_score", "confidence_method")
+
+
+def top_conflicts(spark, sf_dir):
+    """The first 50 of the ranking, as the report lists them."""
+    return conflicts.ranked(conflicts.detect(star.parts(spark, sf_dir))).limit(50).select("claim_a", "claim_b", "functional", "already_linked")
+
+
+def fuzzy_scores(spark, sf_dir):
+    return conflicts.fuzzy(star.parts(spark, sf_dir)).select("claim_a", "claim_b", "subj_sim", "pred_sim", "obj_sim", "relation")
+
+
+def vector_pairs(spark, sf_dir):
+    """All pairs of embeddings with a cosine of 0.5 or more."""
+    e = star.table(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("n"), F.col("embedding").alias("v"))
+    return conflicts.close(e, 0.5).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("sim", 6).alias("cosine"))
 
 
 def _rule(rule):
@@ -225,14 +327,25 @@ def log_scan_guard(spark, sf_dir):
     return typed(check(lines)).select("seq", "event", F.coalesce("claim_id", "old_claim_id").alias("claim_id"), F.col("t_created").cast("timestamp_ntz").alias("t_created"), "to", "new_score")
 
 
+#: Commands on the hierarchy: name -> the rows to append.
+COMMANDS = {
+    "discredit_effects": lambda do: do.discredit(SOURCE, "audit"),
+    "retract_effects": lambda do: do.retract("clm_nation_4", "r", "me"),
+    "supersede_effects": lambda do: do.supersede("clm_region_1", "clm_region_2"),
+    "invalidate_effects": lambda do: do.invalidate("clm_region_3", "cause", "disputed"),
+    "status_effects": lambda do: do.change_status("clm_nation_9", "confirmed", "why"),
+    "rebuttal_effects": lambda do: do.trigger_rebuttal("clm_nation_9", "it moved"),
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         fold_claims, fold_part_claims, fold_sources, fold_evidence, fold_edges, fold_threads, fold_runs, revisions, as_of_system, as_of_world, as_of_both, by_status, revision_log, get_claim, show_claim, conflict_neighbours, status_counts,
         corpus_totals, report_believed, report_health, promotion_check, authoritative_sources, detect_conflicts, fuzzy_candidates, jaccard_pairs, token_sets, cosine_pairs, normalize_text, ids, downstream_direct, downstream_transitive, cascade_flags,
-        transition_legality, enum_coercion, ingest_validate, ingest_dedup, log_scan_guard,
+        transition_legality, enum_coercion, ingest_validate, ingest_dedup, ingest_batch, ingest_source_rules, log_scan_guard, log_from_files,
+        link_effects, fold_supersedes, top_conflicts, fuzzy_scores, vector_pairs,
     )
 } | {
     "lint_unlinked": _rule(guard.unlinked), "lint_non_falsifiable": _rule(guard.non_falsifiable), "lint_overconfidence": _rule(guard.overconfidence), "lint_uncertainty": _rule(guard.uncertainty), "lint_orphan_source": _rule(guard.orphan_source),
     "lint_orphan_parent": _rule(guard.orphan_parent), "queue_needs_review": needs_review, "queue_low_corroboration": _queue(guard.low_corroboration), "queue_misinformation": _queue(guard.misinformation), "queue_authority_contradiction": _queue(guard.authority_contradiction),
-}
+} | {name: _after(make) for name, make in COMMANDS.items()}

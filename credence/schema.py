@@ -16,7 +16,7 @@ EVENTS = [
     "seed_marker", "agent_run_started", "source_registered", "source_discredited", "source_recredited", "claim_created", "evidence_added", "status_changed",
     "confidence_recalibrated", "conflict_linked", "resolution_updated", "claim_invalidated", "claim_superseded", "claim_retracted", "rebuttal_triggered",
 ]
-#: from -> legal next statuses
+# From -> legal next statuses.
 TRANSITIONS = {
     "hypothesized": ["probable", "corroborated", "confirmed", "disputed", "needs_review", "retracted"],
     "probable": ["corroborated", "confirmed", "disputed", "needs_review", "retracted", "superseded"],
@@ -27,11 +27,12 @@ TRANSITIONS = {
     "superseded": [],
     "retracted": ["hypothesized"],
 }
-#: near-miss spellings of enum values, by field
+# Near-miss spellings of enum values, by field.
 ALIASES = {
     "analytic_confidence": {"moderate": "mod", "medium": "mod", "m": "mod", "hi": "high", "lo": "low"},
     "likelihood_band": {"even": "roughly_even", "50/50": "roughly_even", "certain": "almost_certain", "impossible": "almost_no_chance"},
 }
+# Thresholds.
 AUTHORITY, PROMOTE, CONFIRM = 0.5, 0.7, 0.9
 SUBJECT_SIMILARITY, PREDICATE_SIMILARITY, OBJECT_SIMILARITY = 0.6, 0.5, 0.8
 HIGH_CONFIDENCE = 0.8

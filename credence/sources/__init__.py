@@ -6,9 +6,7 @@ the place in the file; it becomes the column ``seq`` on reading and is what ever
 
 from __future__ import annotations
 
-import hashlib
 import json
-from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,17 +57,22 @@ def read_table(spark: SparkSession, path: str, topic: str) -> DataFrame:
     return spark.read.schema(LOG).parquet(path).where(F.col("topic") == topic)
 
 
+def stamp(rows: DataFrame, topic: str) -> DataFrame:
+    """Rows of new events with their version, topic, time and id: a hash of all their fields but seq, by name."""
+    made = rows.withColumns({"v": F.lit(VERSION), "topic": F.lit(topic), "t_created": F.current_timestamp()})
+    fields = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(made.columns) if c not in ("seq", "event_id")]))
+    return made.withColumn("event_id", F.concat(F.lit("evt_"), fn.hash16(fields)))
+
+
 def event_rows(spark: SparkSession, events: list[tuple[str, dict]], topic: str, first_seq: int, agent_run: str | None = None) -> DataFrame:
     """Log rows of a few new events, in order from first_seq, stamped now."""
     out = []
     for i, (kind, payload) in enumerate(events):
         if kind not in EVENTS:
             raise ValueError(f"unknown event type {kind!r}")
-        record = {"v": VERSION, "event": kind, "topic": topic, "t_created": datetime.now(UTC).isoformat(timespec="microseconds"), "agent_run": agent_run, **payload}
-        record["event_id"] = "evt_" + hashlib.sha256(json.dumps(record, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
-        out.append((first_seq + i, json.dumps(record, ensure_ascii=False)))
+        out.append((first_seq + i, json.dumps({"event": kind, "agent_run": agent_run, **payload}, ensure_ascii=False)))
     lines = spark.createDataFrame(out, "seq long, value string").withColumn("place", F.col("seq").cast("string"))
-    return typed(guard(lines))
+    return stamp(typed(guard(lines)), topic)
 
 
 def append(log_rows: DataFrame, path: str) -> None:
