@@ -4,6 +4,9 @@ Each round points the larger neighbours of every node at its smallest one, then
 shrinks to one star for each component in a number of rounds that grows with the logarithm of the longest path. Minima
 are aggregated before the shuffle, so a node with very many links costs no task more than its share. Every round is
 written to the shared folder, and only counts and a checksum reach the driver.
+
+Edges with a null end, loops and repeated edges add nothing; an empty list gives an empty result; other columns are ignored.
+Ends are long, so ties between components do not arise: the smallest number names one.
 """
 
 from __future__ import annotations

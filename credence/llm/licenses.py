@@ -10,7 +10,8 @@ Jaccard similarity is thus at least 0.29 for any n. A band of one row misses wit
 BANDS of them with 0.71 ** 32 < 2e-5. Windows that share a band with a template are verified: the share of the template's
 distinct shingles that the window holds must be at least 0.8.
 
-Templates are a list held by the caller, sent to every executor after a check of its size. Nulls: a null text is an empty
+Templates are a list held by the caller, sent to the executors in blocks of bounded size, each of which meets all documents
+in a pass of its own. Nulls: a null text is an empty
 one; a null id is reported under null. Templates with fewer than five words are one shingle of all their words. Repeated
 rows are reported alike; extra columns are ignored; an empty table gives an empty result; texts of any length are whole.
 """
@@ -18,6 +19,7 @@ rows are reported alike; extra columns are ignored; an empty table gives an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,9 +95,19 @@ def classes(templates: dict[str, str]) -> dict[int, list[Class]]:
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, license, containment, start_word) of every document row and template that it holds: the best window, the first of equal ones."""
-    size = sum(len(k) + len(v) for k, v in templates.items())
-    if size > MAX_TEMPLATE_BYTES:
-        raise ValueError(f"templates take {size} bytes; at most {MAX_TEMPLATE_BYTES} can be sent to every executor")
+    blocks: list[dict[str, str]] = [{}]
+    held = 0
+    for name, text in sorted(templates.items()):
+        size = len(name) + len(text)
+        if blocks[-1] and held + size > MAX_TEMPLATE_BYTES:
+            blocks.append({})
+            held = 0
+        blocks[-1][name] = text
+        held += size
+    return reduce(DataFrame.union, [scan_block(docs, x) for x in blocks])
+
+
+def scan_block(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
     by_words = classes(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

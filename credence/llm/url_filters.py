@@ -6,7 +6,8 @@ that the fewest URLs of the corpus contain becomes its index key. A URL's tokens
 those run their regular expression, so the cost of a URL follows its own tokens and not the number of rules. Patterns
 without such a literal are run on every URL.
 
-Rules are a list held by the caller: they are sent to every executor, after a check against ``MAX_RULE_BYTES``.
+Rules are a list held by the caller. They are sent to the executors in blocks of at most ``MAX_RULE_BYTES``, one pass in
+the same job for each block, which carries along what the blocks before have found.
 Nulls: a URL that is null or lacks ``://`` has an empty host and path, no host rule fits it and it is allowed. Repeated
 rows are judged alike; an empty table gives an empty result; extra columns are ignored.
 """
@@ -57,9 +58,11 @@ def _members(arg: list) -> str:
 def index(urls: DataFrame, patterns: list[tuple[str, str]]) -> tuple[dict[str, list[int]], list[int]]:
     """Rarest literal token -> numbers of its patterns, and the patterns that have none. Token frequencies cover all URLs."""
     tokens = {i: literal_tokens(p) for i, (p, _) in enumerate(patterns)}
-    wanted = sorted(set().union(*tokens.values()))
-    found = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit("([a-z0-9]+)"), 1))).alias("t")).where(F.col("t").isin(wanted)).groupBy("t").count() if wanted else None
-    often = {r["t"]: r["count"] for r in found.collect()} if found is not None else {}  # one row for each token of the rules at most
+    wanted, often = sorted(set().union(*tokens.values())), {}
+    if wanted:
+        asked = urls.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
+        found = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit("([a-z0-9]+)"), 1))).alias("t")).groupBy("t").count().join(asked, "t")
+        often = {r["t"]: r["count"] for r in found.collect()}  # one row for each token of the rules at most
     at: dict[str, list[int]] = {}
     for i, own in tokens.items():
         if own:
@@ -85,12 +88,37 @@ def host_rule(host: str, path: str, by_host: dict[str, list[tuple[str, str, str]
     return max(fits)[1:] if fits else None
 
 
+def rule_blocks(host_rules: list[tuple[str, str, str]], patterns: list[tuple[str, str]]) -> list[tuple[list, list]]:
+    """The rules in order, in blocks of a bounded size; at least one."""
+    out, held = [([], [])], 0
+    for n, rules in enumerate((host_rules, patterns)):
+        for rule in rules:
+            size = sum(map(len, rule))
+            if held and held + size > MAX_RULE_BYTES:
+                out.append(([], []))
+                held = 0
+            out[-1][n].append(rule)
+            held += size
+    return out
+
+
 def judge(pages: DataFrame, host_rules: list[tuple[str, str, str]] = HOST_RULES, patterns: list[tuple[str, str]] = PATTERNS) -> DataFrame:
     """(page_id, host, path, rule, pattern, verdict) for each row of pages(page_id, url)."""
-    size = sum(len(x) for r in [*host_rules, *patterns] for x in r)
-    if size > MAX_RULE_BYTES:
-        raise ValueError(f"rules take {size} bytes; at most {MAX_RULE_BYTES} can be sent to every executor")
-    by_token, always = index(pages, patterns)
+    kind, none = pages.schema["page_id"].dataType.simpleString(), F.lit(None).cast("string")
+    rows = pages.select("page_id", "url", *[none.alias(x) for x in FOUND])
+    for block in rule_blocks(host_rules, patterns):
+        rows = rows.mapInArrow(searched(*block, *index(pages, block[1])), f"page_id {kind}, url string, {', '.join(f'{x} string' for x in FOUND)}")
+    pattern = F.when(F.col("rule").isNull(), F.coalesce("allowing", "blocking"))
+    verdict = F.coalesce("rule_verdict", F.when(F.col("allowing").isNull() & F.col("blocking").isNotNull(), "block").otherwise("allow"))
+    return rows.select("page_id", "host", "path", "rule", pattern.alias("pattern"), verdict.alias("verdict"))
+
+
+#: What is carried from block to block: the longest host rule with its verdict, and the first pattern of each verdict.
+FOUND = ["host", "path", "rule", "rule_verdict", "allowing", "blocking"]
+
+
+def searched(host_rules: list[tuple[str, str, str]], patterns: list[tuple[str, str]], by_token: dict[str, list[int]], always: list[int]):
+    """The pass of one block of rules over rows (page_id, url, *FOUND)."""
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for host, path, verdict in host_rules:
         by_host.setdefault(host, []).append((host + path, path, verdict))
@@ -99,18 +127,18 @@ def judge(pages: DataFrame, host_rules: list[tuple[str, str, str]] = HOST_RULES,
         compiled = [(re.compile(p), v) for p, v in patterns]
         for batch in batches:
             rows = []
-            for url in batch.column("url").to_pylist():
+            for url, rule, verdict, allowing, blocking in zip(*(batch.column(c).to_pylist() for c in ("url", "rule", "rule_verdict", "allowing", "blocking")), strict=True):
                 host, path = split_url(url)
-                rule, verdict = host_rule(host, path, by_host) or (None, None)
-                hits = []
-                if verdict is None and host:
+                fits = host_rule(host, path, by_host)
+                if fits and (rule is None or (len(fits[0]), fits) > (len(rule), (rule, verdict))):
+                    rule, verdict = fits
+                if rule is None and host:
                     low = url.lower()
-                    candidates = {*always, *(i for t in set(TOKEN.findall(low)) for i in by_token.get(t, ()))}
-                    hits = [i for i in sorted(candidates) if compiled[i][0].search(low)]
-                    hits = [i for i in hits if patterns[i][1] == "allow"] or hits
-                rows.append((host, path, rule, patterns[hits[0]][0] if hits else None, verdict or (patterns[hits[0]][1] if hits else "allow")))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(c, pa.string()) for c in columns)], names=["page_id", "host", "path", "rule", "pattern", "verdict"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, pattern string, verdict string")
+                    for i in sorted({*always, *(i for t in set(TOKEN.findall(low)) for i in by_token.get(t, ()))}):
+                        if compiled[i][0].search(low):
+                            allowing, blocking = (allowing or patterns[i][0], blocking) if patterns[i][1] == "allow" else (allowing, blocking or patterns[i][0])
+                rows.append((host, path, rule, verdict, allowing, blocking))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(FOUND)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array(c, pa.string()) for c in columns)], names=["page_id", "url", *FOUND])
+
+    return run

@@ -57,7 +57,7 @@ def test_start_word_nulls_and_empty_table(spark):
     assert li.scan(df.limit(0)).collect() == []
 
 
-def test_full_texts_with_small_changes(spark):
+def test_full_texts_with_small_changes(spark, monkeypatch):
     """Each full text, re-wrapped, with a word in forty replaced, between other words: found by its name, twice for a repeated row."""
     docs = []
     for n, (_name, text) in enumerate(sorted(FULL_TEXTS.items())):
@@ -67,3 +67,5 @@ def test_full_texts_with_small_changes(spark):
     names = sorted(FULL_TEXTS)
     assert {n for n in range(len(names)) if any(r.doc_id == n and r.license == names[n] for r in rows)} == set(range(len(names)))
     assert sum(r.doc_id == 0 and r.license == names[0] for r in rows) == 2
+    monkeypatch.setattr(li, "MAX_TEMPLATE_BYTES", 2000)
+    assert sorted(map(tuple, li.scan(spark.createDataFrame(docs + docs[:1], "doc_id long, text string")).collect())) == sorted(map(tuple, rows))

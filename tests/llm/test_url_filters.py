@@ -36,6 +36,12 @@ def test_odd_urls(spark):
     ])
 
 
+def test_rules_in_many_blocks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(uf, "MAX_RULE_BYTES", 30)
+    assert len(uf.rule_blocks(uf.HOST_RULES, uf.PATTERNS)) > 5
+    check(spark, [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(300).collect()] + ["http://a.www.example.com/en/", "http://x.org/a-adult-b", "https://my-spam-farm.org/robots.txt"])
+
+
 def test_literal_tokens_are_in_every_match():
     assert uf.literal_tokens(r"/wp-login\.php\b") == {"wp", "login", "php"}
     assert uf.literal_tokens(r"/ab+c/") == set() and uf.literal_tokens(r"abc/") == set() and uf.literal_tokens(r"^abc$") == {"abc"}
@@ -44,3 +50,9 @@ def test_literal_tokens_are_in_every_match():
 
 def test_empty_table(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://a.net/fr/x", "h", "v"), (1, "http://a.net/fr/x", "h", "v"), (None, None, "h", "v"), (2, "no scheme", "h", "v")], "page_id long, url string, host string, verdict string")
+    got = sorted(((r.page_id or 0, r.host, r.path, r.rule, r.verdict) for r in uf.judge(df).collect()), key=str)
+    assert got == sorted([(1, "a.net", "/fr/x", "net/fr/", "block")] * 2 + [(0, "", "", None, "allow"), (2, "", "", None, "allow")], key=str)
