@@ -196,7 +196,7 @@ UNION ALL SELECT 'evidence_added', 'run_' || c.n, c.claim_id, s.source_id, NULL,
       objs AS (SELECT DISTINCT lower(obj) AS n, {_tokens('lower(obj)')} AS t FROM claims), osim AS (SELECT a.n AS x, b.n AS y, CASE WHEN a.n = b.n THEN 1.0 ELSE {_SIM} END AS sim FROM objs a JOIN objs b ON true)
       SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, round_even(near.sim, 3) AS subj_sim, CAST(1.0 AS DOUBLE) AS pred_sim, round_even(CAST(o.sim AS DOUBLE), 3) AS obj_sim, CASE WHEN o.sim >= 0.8 THEN 'same_object' ELSE 'diff_object' END AS relation
       FROM live a JOIN near ON lower(a.subj) = near.x JOIN live b ON lower(b.subj) = near.y AND a.pred = b.pred AND a.seq < b.seq JOIN osim o ON o.x = lower(a.obj) AND o.y = lower(b.obj)""",
-    "vector_pairs": "SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0, least(1, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.5",
+    "vector_pairs": "SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0, least(1, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3",
     "ingest_dedup": f"SELECT DISTINCT {_ID.format(p='is_a', o='p_brand')} AS claim_id FROM part",
     "log_scan_guard": "SELECT event_id AS seq, CASE WHEN event_type = 'signup' THEN 'claim_created' WHEN event_type = 'click' THEN 'rebuttal_triggered' WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'confidence_recalibrated' WHEN event_type IN ('view', 'purchase') THEN 'status_changed' WHEN event_id % 3 = 0 THEN 'claim_retracted' WHEN event_id % 3 = 1 THEN 'claim_invalidated' ELSE 'claim_superseded' END AS event, 'clm_' || user_id AS claim_id, ts AS t_created, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'needs_review' ELSE 'probable' END WHEN event_type = 'purchase' THEN 'corroborated' END AS \"to\", value / 500 AS new_score FROM events",
     "queue_needs_review": EVENTS + "SELECT 'clm_' || user_id AS claim_a, why AS detail FROM final WHERE flag",

@@ -300,9 +300,9 @@ def fuzzy_scores(spark, sf_dir):
 
 
 def vector_pairs(spark, sf_dir):
-    """All pairs of embeddings with a cosine of 0.5 or more."""
+    """All pairs of embeddings with a cosine of 0.3 or more."""
     e = star.table(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("n"), F.col("embedding").alias("v"))
-    return conflicts.close(e, 0.5).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("sim", 6).alias("cosine"))
+    return conflicts.close(e, 0.3).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("sim", 6).alias("cosine"))
 
 
 def _rule(rule):
