@@ -222,6 +222,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, words: int, k
     """(id, k) of the pairs(id, k, j_id, j_k) whose texts are similar."""
     wanted = pairs.select("id", "k").union(pairs.select("j_id", "j_k")).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, ["id", "k"])
+    texts = cut(texts, "near-texts")  # both sides of each join are then shuffled by themselves, so that a text with very many copies can be split
     both = pairs.join(texts, ["id", "k"]).join(texts.select(F.col("id").alias("j_id"), F.col("k").alias("j_k"), F.col("text").alias("other")), ["j_id", "j_k"]).select("id", "k", "j_k", "text", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +238,9 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, words: int, k
             yield batch.select(["id", "k"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    return both.mapInArrow(run, f"id {kind}, k long").distinct()
+    out = cut(both.mapInArrow(run, f"id {kind}, k long").distinct(), "near-similar")
+    drop(texts)
+    return out
 
 
 def similar_kinds(docs: DataFrame, kinds: DataFrame, similarity: float, words: int, distance: int, segments: int, salts: int, bucket: int) -> list[DataFrame]:
@@ -249,7 +252,7 @@ def similar_kinds(docs: DataFrame, kinds: DataFrame, similarity: float, words: i
     same = own.join(classes.where("n > 1").select("salt", "fp", F.col("id").alias("j_id"), F.col("k").alias("j_k")), ["salt", "fp"]).where("k <> j_k").select("id", "k", "j_id", "j_k", F.lit(0).alias("rank"))
     close = candidates.first().withColumn("rank", F.lit(1))
     pairs = cut(same.union(close).groupBy("id", "k").agg(F.min(F.struct("rank", "j_id", "j_k")).alias("j")).select("id", "k", "j.j_id", "j.j_k"), "near-pairs")
-    gone = [cut(verified(docs, pairs, similarity, words, kind), "near-similar")]
+    gone = [verified(docs, pairs, similarity, words, kind)]
     left = cut(pairs.select("id", "k").join(gone[0], ["id", "k"], "left_anti"), "near-left")
     most = 4
     while not left.isEmpty():
@@ -262,7 +265,7 @@ def similar_kinds(docs: DataFrame, kinds: DataFrame, similarity: float, words: i
         heads = heads.select("salt", F.col("fp").alias("near_fp"), F.col("id").alias("j_id"), F.col("k").alias("j_k"))
         found = asking.join(around, "fp").join(heads, ["salt", "near_fp"]).where("j_id < id OR j_id = id AND j_k < k").select("id", "k", "j_id", "j_k").distinct()
         found = cut(found.withColumn("n", F.row_number().over(Window.partitionBy("id", "k").orderBy("j_id", "j_k"))).where(F.col("n") <= most), "near-pairs")
-        new = cut(verified(docs, found.where(F.col("n") > most // 4 if most > 4 else F.lit(True)), similarity, words, kind), "near-similar")
+        new = verified(docs, found.where(F.col("n") > (most // 4 if most > 4 else 0)), similarity, words, kind)
         gone.append(new)
         more = found.where(F.col("n") == most).select("id", "k")
         left = cut(more.join(new, ["id", "k"], "left_anti"), "near-left")
