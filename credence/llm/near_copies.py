@@ -7,16 +7,18 @@ in the order of smallest ids, lies within that distance in some salt and has a J
 computed on the whole texts. So no two linked kinds stay, and of each group of links the first stays.
 
 *Candidates.* Of any two fingerprints within the distance, some start of the ring of segments has every chain of l segments
-within l * distance / segments bits (see simhash); its first segment is equal and is the blocking key. With more fingerprints
-keys get longer: what is left of the bits is cut into distance + 1 parts, one of which must be equal too, and so on. The
-fingerprints of a key, equal ones once, are compared in one task. Keys that more than ``bucket`` share all the same are
-dealt out in parts: all rows meet the first ``bucket`` ones, and only those that none of these is near meet the others. In
-a crowd of near copies that is linear in its size. No task holds more than twice ``bucket`` rows of a key.
+within l * distance / segments bits (see simhash); its first segment is equal and is the blocking key. With more kinds keys
+get longer: what is left of the bits is cut into distance + 1 parts, one of which must be equal too, and so on. The kinds of
+a key are compared in one task. Keys that more than ``bucket`` share all the same are dealt out in parts: all rows meet the
+first ``bucket`` ones, and only those that find no candidate among these meet the others. In a crowd of near copies that is
+linear in its size. No task holds more than twice ``bucket`` rows of a key.
 
-*Verification.* First each kind is compared with one candidate, the first that shares all bits or else the first that is
-near. The few that are near but not similar to it go on: round after round they are compared with the first 4, 16, 64 ...
-candidates, until one is similar or none is left. Pairs are linear in the number of kinds unless a kind has many near
-but dissimilar ones before it. Texts meet by joins of single rows; no group is gathered.
+Every kind has a sketch, a bitmap of its shingles. Two texts differ in at least as many shingles as their sketches in bits,
+so near kinds whose sketches differ too much can't be similar, and are no candidates; nothing is lost by that.
+
+*Verification.* First each kind is compared with one candidate. The few that are not similar to it go on: round after
+round they are compared with the first 4, 16, 64 ... candidates, until one is similar or none is left. Texts meet by joins
+of single rows; no group is gathered.
 
 Nulls: a null text is an empty one; rows with a null id stay. Texts with fewer than five words are one shingle of all of
 them; texts without words are alike. Of rows that repeat id and text, the first by the JSON of their other columns stays.
@@ -35,47 +37,78 @@ from pyspark.sql import functions as F
 
 from .shared import cut, drop, fresh, give_back
 from .simhash import SEED, ring, word_blocks
-from .tokens import mix
+from .tokens import mix, shingles
 
 SALTS = 2
+#: Bits of a text's sketch; word hashes that a task keeps.
+BITS, WORDS = 512, 300_000
+#: What a list holds of each kind.
+OWN = ["id", "k", "fp", "size", "bits"]
 
 
-def prints(text: str | None, salts: int) -> np.ndarray:
-    """SimHashes of the distinct words of a text, A-Z lower-cased."""
+def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+    """A hash of each word of a text, A-Z lower-cased. known: keeps the hashes of words that were seen."""
     import xxhash
 
-    found: set[bytes] = set()
+    parts = [np.zeros(0, np.uint64)]
     for block in word_blocks((text or "").encode().lower(), 0):
-        found.update(block)
-    plain = np.array([xxhash.xxh64_intdigest(w, SEED) for w in found], "<u8")
-    out = np.zeros(salts, np.uint64)
-    for salt in range(salts if found else 0):
+        for w in set(block) - known.keys():
+            known[w] = xxhash.xxh64_intdigest(w, SEED)
+        parts.append(np.fromiter(map(known.__getitem__, block), np.uint64, len(block)))
+    return np.concatenate(parts)
+
+
+def prints(hashes: np.ndarray, salts: int) -> np.ndarray:
+    """SimHashes of the distinct words of a text."""
+    plain, out = np.unique(hashes), np.zeros(salts, np.uint64)
+    for salt in range(salts if len(plain) else 0):
         own = mix(plain + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if salt else plain
         ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out[salt] = np.packbits(2 * ones > len(plain), bitorder="little").view("<u8")[0]
     return out
 
 
-def text_prints(docs: DataFrame, salts: int) -> DataFrame:
-    """(doc_id, k, c, fps) of every row of docs(doc_id, text): two hashes of the text, and its fingerprints."""
+def sketch(hashes: np.ndarray, words: int) -> tuple[int, np.ndarray]:
+    """Number of distinct shingles of a text, and a bitmap with a bit set for each."""
+    own = np.unique(shingles(hashes, min(words, len(hashes)))) if len(hashes) else np.zeros(1, np.uint64)
+    bits = np.zeros(BITS, bool)
+    bits[(own % np.uint64(BITS)).astype(np.int64)] = True
+    return len(own), np.packbits(bits)
+
+
+def text_prints(docs: DataFrame, salts: int, words: int) -> DataFrame:
+    """(doc_id, k, c, fps, size, bits) of every row of docs(doc_id, text): two hashes of the text, its fingerprints and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
-            fps = np.array([prints(t.as_py(), salts) for t in batch.column("text")], np.uint64).view(np.int64).reshape(-1, salts)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * salts, pa.int32()), pa.array(fps.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "k", "c")), lists], names=["doc_id", "k", "c", "fps"])
+            fps, sizes, bitmaps = [], [], []
+            for t in batch.column("text"):
+                hashes = word_hashes(t.as_py(), known)
+                fps.append(prints(hashes, salts).view(np.int64).tolist())
+                size, bits = sketch(hashes, words)
+                sizes.append(size)
+                bitmaps.append(bits.tobytes())
+                if len(known) > WORDS:
+                    known.clear()
+            columns = [*(batch.column(x) for x in ("doc_id", "k", "c")), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "c", "fps", "size", "bits"])
         give_back()
 
     rows = docs.select("doc_id", text_key().alias("k"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, c long, fps array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, c long, fps array<bigint>, size long, bits binary")
 
 
 def text_key():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def spread(classes: DataFrame, distance: int, segments: int, kind: str) -> DataFrame:
-    """(key, start, used, id, k, fp) of classes(salt, fp, id, k): a row for each segment of the ring; used: the bits in the key."""
+def own_schema(kind: str) -> str:
+    return f"id {kind}, k long, fp long, size long, bits binary"
+
+
+def spread(own: DataFrame, segments: int, kind: str) -> DataFrame:
+    """(key, start, used, *OWN) of own(salt, *OWN): a row for each segment of the ring; used: the bits in the key."""
     masks = ring(segments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +116,9 @@ def spread(classes: DataFrame, distance: int, segments: int, kind: str) -> DataF
             fp, salt = batch.column("fp").to_numpy().view(np.uint64), batch.column("salt").to_numpy().astype(np.uint64)
             for start, mask in enumerate(masks):
                 key = mix(mix(fp & np.uint64(mask)) + salt * np.uint64(segments) + np.uint64(start))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(fp), start, np.int32)), pa.array(np.full(len(fp), mask, np.uint64).view(np.int64)), *(batch.column(x) for x in ("id", "k", "fp"))], names=["key", "start", "used", "id", "k", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(fp), start, np.int32)), pa.array(np.full(len(fp), mask, np.uint64).view(np.int64)), *(batch.column(x) for x in OWN)], names=["key", "start", "used", *OWN])
 
-    return classes.select("salt", "fp", "id", "k").mapInArrow(run, f"key long, start int, used long, id {kind}, k long, fp long")
+    return own.select("salt", *OWN).mapInArrow(run, f"key long, start int, used long, {own_schema(kind)}")
 
 
 def split_keys(keyed: DataFrame, distance: int, kind: str) -> DataFrame:
@@ -102,17 +135,17 @@ def split_keys(keyed: DataFrame, distance: int, kind: str) -> DataFrame:
                     if len(bits):
                         own = sum(1 << int(b) for b in bits)
                         longer = mix(mix(key[rows] + np.uint64(n + 1)) + mix(fp[rows] & np.uint64(own)))
-                        yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), some.column("start"), pa.array(np.full(len(rows), mask | own, np.uint64).view(np.int64)), *(some.column(x) for x in ("id", "k", "fp"))], names=["key", "start", "used", "id", "k", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), some.column("start"), pa.array(np.full(len(rows), mask | own, np.uint64).view(np.int64)), *(some.column(x) for x in OWN)], names=["key", "start", "used", *OWN])
 
-    return keyed.mapInArrow(run, f"key long, start int, used long, id {kind}, k long, fp long")
+    return keyed.mapInArrow(run, f"key long, start int, used long, {own_schema(kind)}")
 
 
-def blocked(classes: DataFrame, distance: int, segments: int, salts: int, bucket: int, kind: str) -> DataFrame:
-    """(key, start, id, k, fp) with keys long enough that a quarter of `bucket` fingerprints would share one by chance."""
-    rows, n, bits = spread(classes, distance, segments, kind), classes.count() // salts, 64 // segments
+def blocked(own: DataFrame, n: int, distance: int, segments: int, bucket: int, kind: str) -> DataFrame:
+    """(key, start, *OWN) with keys long enough that of n fingerprints a quarter of `bucket` would share one by chance."""
+    rows, bits = spread(own, segments, kind), 64 // segments
     while bits < 48 and n >> bits > bucket // 4:
         rows, bits = split_keys(rows, distance, kind), bits + (64 - bits) // (distance + 1)
-    return cut(rows.select("key", "start", "id", "k", "fp"), "near-keys")
+    return cut(rows.select("key", "start", *OWN), "near-keys")
 
 
 #: What a row of a list is for.
@@ -120,67 +153,86 @@ TARGET, SEEKER = 1, 2
 
 
 def lists(*parts: DataFrame) -> DataFrame:
-    """(start, ids, ks, fps, roles) of the rows(key, part, start, id, k, fp, role) of each key and part, by (id, k)."""
-    rows = reduce(DataFrame.union, [x.select("key", "part", "start", "id", "k", "fp", "role") for x in parts])
+    """(start, ids, ks, fps, roles, sizes, bitss) of the rows(key, part, start, *OWN, role) of each key and part, by (id, k)."""
+    rows = reduce(DataFrame.union, [x.select("key", "part", "start", *OWN, "role") for x in parts])
     has = lambda bit: F.max(F.col("role").bitwiseAND(bit))
-    by_key = rows.groupBy("key", "part").agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("id", "k", "fp", "role"))).alias("x"), (has(TARGET) + has(SEEKER)).alias("both"))
-    return by_key.where(f"size(x) > 1 AND both = {TARGET + SEEKER}").select("start", *(F.col(f"x.{c}").alias(f"{c}s") for c in ("id", "k", "fp", "role")))
-
-
-def near(fps: np.ndarray, seekers: np.ndarray, targets: np.ndarray, start: int, masks: list[int], distance: int, earlier: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """(place of a seeker, places of its neighbours in ascending order); a chain that breaks its budget ends a comparison."""
-    m = len(masks)
-    for some in np.array_split(seekers, max(1, len(seekers) * len(targets) >> 20)):
-        j = targets[targets < some.max()] if earlier else targets
-        i, j = np.repeat(some, len(j)), np.tile(j, len(some))
-        differ, chain = fps[i] ^ fps[j], np.uint64(0)
-        for n in range(1, m + 1):
-            chain |= np.uint64(masks[(start + n - 1) % m])
-            ok = np.bitwise_count(differ & chain) <= n * distance // m
-            i, j, differ = i[ok], j[ok], differ[ok]
-        real = (differ != 0) & (i > j) if earlier else differ != 0
-        i, j = i[real], j[real]
-        begin = np.flatnonzero(np.diff(i, prepend=-1))
-        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(i)], strict=False):
-            yield int(i[a]), j[a:b]
-
-
-def compared(keys: DataFrame, distance: int, segments: int, kind: str, most: int, earlier: bool) -> DataFrame:
-    """(id, k, fp, j_id, j_k, j_fp): of each seeker, the first `most` targets of its list that are near (and before it)."""
+    by_key = rows.groupBy("key", "part").agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct(*OWN, "role"))).alias("x"), (has(TARGET) + has(SEEKER)).alias("both"))
+    return by_key.where(f"size(x) > 1 AND both = {TARGET + SEEKER}").select("start", *(F.col(f"x.{c}").alias(f"{c}s") for c in (*OWN, "role")))
+
+
+class Crowd:
+    """The kinds of a list, by (id, k)."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self.ids, self.ks, fps, sizes, roles, bits = (batch.column(f"{c}s")[row].values for c in ("id", "k", "fp", "size", "role", "bits"))
+        self.fps, self.k, self.sizes = fps.to_numpy().view(np.uint64), self.ks.to_numpy(), sizes.to_numpy()
+        self.bits = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(self.k), -1)
+        role = roles.to_numpy()
+        self.seekers, self.targets, self.start = np.flatnonzero(role & SEEKER), np.flatnonzero(role & TARGET), batch.column("start")[row].as_py()
+
+    def near(self, masks: list[int], distance: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(place of a seeker, places of the targets before it that are near, in ascending order).
+
+        A chain that breaks its budget ends a comparison. Then the sketches are compared: two texts differ in as many
+        shingles as their sketches in bits, or more; with too many for the similarity they are not candidates."""
+        m = len(masks)
+        for some in np.array_split(self.seekers, max(1, len(self.seekers) * len(self.targets) >> 20)):
+            j = self.targets[self.targets < some.max()]
+            i, j = np.repeat(some, len(j)), np.tile(j, len(some))
+            differ, chain = self.fps[i] ^ self.fps[j], np.uint64(0)
+            for n in range(1, m + 1):
+                chain |= np.uint64(masks[(self.start + n - 1) % m])
+                ok = np.bitwise_count(differ & chain) <= n * distance // m
+                i, j, differ = i[ok], j[ok], differ[ok]
+            ok = (i > j) & (self.k[i] != self.k[j])
+            i, j = i[ok], j[ok]
+            apart = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(1, dtype=np.int64) for x, y in zip(np.array_split(i, len(i) // STEP + 1), np.array_split(j, len(i) // STEP + 1), strict=True))])
+            # similar: |A xor B| <= (1 - s) / (1 + s) * (|A| + |B|)
+            ok = apart * (1 + similarity) <= (1 - similarity) * (self.sizes[i] + self.sizes[j]) + 1e-6
+            i, j = i[ok], j[ok]
+            begin = np.flatnonzero(np.diff(i, prepend=-1))
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(i)], strict=False):
+                yield int(i[a]), j[a:b]
+
+
+#: Sketches that are compared at once.
+STEP = 1 << 17
+
+
+def compared(keys: DataFrame, distance: int, segments: int, similarity: float, kind: str, most: int) -> DataFrame:
+    """(id, k, j_id, j_k): of each seeker, the first `most` candidates of its list."""
     masks = ring(segments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, ks, fps = (batch.column(c)[row].values for c in ("ids", "ks", "fps"))
-                role = batch.column("roles")[row].values.to_numpy()
-                found = near(fps.to_numpy().view(np.uint64), np.flatnonzero(role & SEEKER), np.flatnonzero(role & TARGET), batch.column("start")[row].as_py(), masks, distance, earlier)
-                some = [(np.full(min(most, len(js)), i), js[:most]) for i, js in found]
+                crowd = Crowd(batch, row)
+                some = [(np.full(min(most, len(js)), i), js[:most]) for i, js in crowd.near(masks, distance, similarity)]
                 if some:
                     i, j = (pa.array(np.concatenate(x)) for x in zip(*some, strict=True))
-                    yield pa.RecordBatch.from_arrays([ids.take(i), ks.take(i), fps.take(i), ids.take(j), ks.take(j), fps.take(j)], names=["id", "k", "fp", "j_id", "j_k", "j_fp"])
+                    yield pa.RecordBatch.from_arrays([x.take(at) for at in (i, j) for x in (crowd.ids, crowd.ks)], names=["id", "k", "j_id", "j_k"])
         give_back()
 
-    return keys.mapInArrow(run, f"id {kind}, k long, fp long, j_id {kind}, j_k long, j_fp long")
+    return keys.mapInArrow(run, f"id {kind}, k long, j_id {kind}, j_k long")
 
 
 class Candidates:
-    """Which fingerprints are near each other, key by key. Crowded keys are dealt out in parts, none of which holds more
-    than twice `bucket` rows: the targets of a part are met by the seekers that are left, in as many copies as there are parts."""
+    """Which kinds are near each other, key by key. Crowded keys are dealt out in parts, none of which holds more than
+    twice `bucket` rows: the targets of a part are met by the seekers that are left, in as many copies as there are parts."""
 
-    def __init__(self, classes: DataFrame, distance: int, segments: int, salts: int, bucket: int, kind: str):
-        self.how, self.bucket = (distance, segments, kind), bucket
-        self.keyed = blocked(classes, distance, segments, salts, bucket, kind)
+    def __init__(self, own: DataFrame, n: int, distance: int, segments: int, similarity: float, bucket: int, kind: str):
+        self.how, self.bucket = (distance, segments, similarity, kind), bucket
+        self.keyed = blocked(own, n, distance, segments, bucket, kind)
         sizes = self.keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
         self.crowded = cut(sizes.select("key", F.ceil(F.col("n") / bucket).cast("int").alias("parts")), "near-crowded")
         self.calm = self.crowded.isEmpty()
         self.tables = [self.keyed, self.crowded]
 
     def first(self) -> DataFrame:
-        """(id, k, j_id, j_k): some kinds before each fingerprint's first kind that are near it, if there are any."""
+        """(id, k, j_id, j_k): of each kind that has candidates, some of the first of them."""
         part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
         alone = (self.keyed if self.calm else self.keyed.join(self.crowded, "key", "left_anti")).withColumns({"part": F.lit(0), "role": F.lit(TARGET | SEEKER)})
-        found = compared(lists(alone), *self.how, 1, True).select("id", "k", "j_id", "j_k")
+        found = compared(lists(alone), *self.how, 1)
         if self.calm:
             return found
         busy = cut(self.keyed.join(self.crowded, "key"), "near-busy")
@@ -188,19 +240,18 @@ class Candidates:
         heads = busy.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id", "k"))).where(F.col("n") <= self.bucket)
         spread_out = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         heads = heads.withColumns({"part": spread_out, "role": F.lit(TARGET)})
-        found = cut(found.union(compared(lists(heads, busy.withColumns({"part": part, "role": F.lit(SEEKER)})), *self.how, 1, True).select("id", "k", "j_id", "j_k")), "near-found")
+        found = cut(found.union(compared(lists(heads, busy.withColumns({"part": part, "role": F.lit(SEEKER)})), *self.how, 1)), "near-found")
         rest = busy.join(found.select("id", "k").distinct(), ["id", "k"], "left_anti").withColumns({"part": spread_out, "role": F.lit(SEEKER)})
-        more = compared(lists(rest, busy.withColumns({"part": part, "role": F.lit(TARGET)})), *self.how, 1, True)
         self.tables += [busy, found]
-        return found.union(more.select("id", "k", "j_id", "j_k"))
+        return found.union(compared(lists(rest, busy.withColumns({"part": part, "role": F.lit(TARGET)})), *self.how, 1))
 
-    def around(self, fps: DataFrame, most: int) -> DataFrame:
-        """(fp, near_fp): of each of fps(fp), at least the first `most` fingerprints that are near, by their first kinds."""
-        asked = self.keyed.join(fps, "fp", "left_semi")
+    def more(self, left: DataFrame, most: int) -> DataFrame:
+        """(id, k, j_id, j_k): of each kind of left(id, k), its first `most` candidates and some later ones."""
+        asked = self.keyed.join(left, ["id", "k"], "left_semi")
         seekers, targets = (x.join(self.crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))) for x in (asked, self.keyed.join(asked.select("key").distinct(), "key", "left_semi")))
         seekers = seekers.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(SEEKER)})
         targets = targets.withColumns({"part": F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"), "role": F.lit(TARGET)})
-        return compared(lists(seekers, targets), *self.how, most, False).select("fp", F.col("j_fp").alias("near_fp"))
+        return compared(lists(seekers, targets), *self.how, most)
 
     def drop(self) -> None:
         for x in self.tables:
@@ -243,37 +294,27 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, words: int, k
     return out
 
 
-def similar_kinds(docs: DataFrame, kinds: DataFrame, similarity: float, words: int, distance: int, segments: int, salts: int, bucket: int) -> list[DataFrame]:
-    """Tables of (id, k) of the kinds(id, k, fps) that are similar to a candidate before them."""
+def similar_kinds(docs: DataFrame, kinds: DataFrame, similarity: float, words: int, distance: int, segments: int, bucket: int) -> list[DataFrame]:
+    """Tables of (id, k) of the kinds(id, k, fps, size, bits) that are similar to a candidate before them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = kinds.select("id", "k", F.posexplode("fps").alias("salt", "fp"))
-    classes = cut(own.groupBy("salt", "fp").agg(F.min(F.struct("id", "k")).alias("top"), F.count("*").alias("n")).select("salt", "fp", "top.id", "top.k", "n"), "near-classes")
-    candidates = Candidates(classes, distance, segments, salts, bucket, kind)
-    same = own.join(classes.where("n > 1").select("salt", "fp", F.col("id").alias("j_id"), F.col("k").alias("j_k")), ["salt", "fp"]).where("k <> j_k").select("id", "k", "j_id", "j_k", F.lit(0).alias("rank"))
-    close = candidates.first().withColumn("rank", F.lit(1))
-    pairs = cut(same.union(close).groupBy("id", "k").agg(F.min(F.struct("rank", "j_id", "j_k")).alias("j")).select("id", "k", "j.j_id", "j.j_k"), "near-pairs")
+    own = kinds.select("id", "k", F.posexplode("fps").alias("salt", "fp"), "size", "bits")
+    candidates = Candidates(own, kinds.count(), distance, segments, similarity, bucket, kind)
+    first = candidates.first().groupBy("id", "k").agg(F.min(F.struct("j_id", "j_k")).alias("j"))
+    pairs = cut(first.select("id", "k", "j.j_id", "j.j_k"), "near-pairs")
     gone = [verified(docs, pairs, similarity, words, kind)]
     left = cut(pairs.select("id", "k").join(gone[0], ["id", "k"], "left_anti"), "near-left")
     most = 4
     while not left.isEmpty():
-        asking = cut(left.join(kinds, ["id", "k"]).select("id", "k", F.posexplode("fps").alias("salt", "fp")), "near-asking")
-        around = candidates.around(asking.select("fp").distinct(), most)
-        around = cut(around.union(asking.select("fp", F.col("fp").alias("near_fp"))).distinct(), "near-around")
-        # the first kinds of every class that is near an asking one
-        first = Window.partitionBy("salt", "fp").orderBy("id", "k")
-        heads = own.join(around.select(F.col("near_fp").alias("fp")).distinct(), "fp", "left_semi").withColumn("n", F.row_number().over(first)).where(F.col("n") <= most)
-        heads = heads.select("salt", F.col("fp").alias("near_fp"), F.col("id").alias("j_id"), F.col("k").alias("j_k"))
-        found = asking.join(around, "fp").join(heads, ["salt", "near_fp"]).where("j_id < id OR j_id = id AND j_k < k").select("id", "k", "j_id", "j_k").distinct()
+        found = candidates.more(left, most).distinct()
         found = cut(found.withColumn("n", F.row_number().over(Window.partitionBy("id", "k").orderBy("j_id", "j_k"))).where(F.col("n") <= most), "near-pairs")
         new = verified(docs, found.where(F.col("n") > (most // 4 if most > 4 else 0)), similarity, words, kind)
         gone.append(new)
-        more = found.where(F.col("n") == most).select("id", "k")
-        left = cut(more.join(new, ["id", "k"], "left_anti"), "near-left")
-        for x in (asking, around, found):
-            drop(x)
-        most *= 4
+        after = cut(found.where(F.col("n") == most).select("id", "k").join(new, ["id", "k"], "left_anti"), "near-left")
+        drop(left)
+        drop(found)
+        left, most = after, most * 4
     candidates.drop()
-    for x in (classes, pairs):
+    for x in (pairs, left):
         drop(x)
     return gone
 
@@ -281,12 +322,13 @@ def similar_kinds(docs: DataFrame, kinds: DataFrame, similarity: float, words: i
 def surplus(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, distance: int = 7, segments: int = 8, salts: int = SALTS, bucket: int = 4096) -> DataFrame:
     """(doc_id, k) of documents that an earlier one stands for; k is the text's hash."""
     whole = docs.where("doc_id IS NOT NULL")
-    known = cut(text_prints(whole, salts), "near-prints")
-    kinds = cut(known.groupBy("k", "c").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last_id"), F.min("fps").alias("fps")), "near-kinds")
+    known = cut(text_prints(whole, salts, words), "near-prints")
+    same = [F.min(x).alias(x) for x in ("fps", "size", "bits")]
+    kinds = cut(known.groupBy("k", "c").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last_id"), *same), "near-kinds")
     copies = known.join(kinds.where("id < last_id").select("k", "c", "id"), ["k", "c"]).where("doc_id <> id").select("doc_id", "k").distinct()
     copies = cut(copies, "near-copies")
     drop(known)
-    gone = similar_kinds(whole, kinds.select("id", "k", "fps"), similarity, words, distance, segments, salts, bucket)
+    gone = similar_kinds(whole, kinds.select("id", "k", "fps", "size", "bits"), similarity, words, distance, segments, bucket)
     out = cut(reduce(DataFrame.union, [copies, *gone]), "near-surplus")
     for x in (kinds, copies, *gone):
         drop(x)
