@@ -36,7 +36,7 @@ from .tiles import Library, Tiles
 
 MAGIC = b"RPG2"
 #: Ids of a shard, about; bounds a task's memory.
-SHARD_IDS = 3_000_000
+SHARD_IDS = 2_000_000
 #: Bytes of text for each task that writes shards.
 TASK_BYTES = 20 << 20
 MAX_PARTS = 100_000
