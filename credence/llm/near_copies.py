@@ -52,8 +52,9 @@ def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
 
     parts = [np.zeros(0, np.uint64)]
     for block in word_blocks((text or "").encode().lower(), 0):
-        for w in set(block) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w, SEED)
+        for w in set(block):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w, SEED)
         parts.append(np.fromiter(map(known.__getitem__, block), np.uint64, len(block)))
     return np.concatenate(parts)
 
