@@ -7,18 +7,23 @@ in the order of smallest ids, lies within that distance in some salt and has a J
 computed on the whole texts. So no two linked kinds stay, and of each group of links the first stays.
 
 *Candidates.* Of any two fingerprints within the distance, some start of the ring of segments has every chain of l segments
-within l * distance / segments bits (see simhash); its first segment is equal and is the blocking key. With more kinds keys
-get longer: what is left of the bits is cut into distance + 1 parts, one of which must be equal too, and so on. The kinds of
-a key are compared in one task. Keys that more than ``bucket`` share all the same are dealt out in parts: all rows meet the
-first ``bucket`` ones, and only those that find no candidate among these meet the others. In a crowd of near copies that is
-linear in its size. No task holds more than twice ``bucket`` rows of a key.
+within l * distance / segments bits (see simhash); its first segment is equal and is the blocking key. A kind has one row for
+each salt and start, however large the table. The kinds of a key are compared in one task, which goes through them by the
+segment after: two that are near differ there in few bits, so only values that close meet. Keys of more than ``LISTED *
+bucket`` rows get longer by that segment, with a row for each value that a seeker may meet. Keys that are as crowded all the
+same are dealt out in parts: all seekers meet the first ``bucket`` targets, and only those that find no candidate among these
+meet the others. In a crowd of near copies that is linear in its size. No task holds more than twice ``LISTED * bucket`` rows.
 
-Every kind has a sketch, a bitmap of its shingles. Two texts differ in at least as many shingles as their sketches in bits,
-so near kinds whose sketches differ too much can't be similar, and are no candidates; nothing is lost by that.
+A pair that meets under several salts and starts counts at the first of them, so every pair is made once.
 
-*Verification.* First each kind is compared with one candidate. The few that are not similar to it go on: round after
-round they are compared with the first 4, 16, 64 ... candidates, until one is similar or none is left. Texts meet by joins
-of single rows; no group is gathered.
+Every kind has a sketch, a bitmap of its shingles: a bit tells whether an odd number of them falls on it, and it has as many
+bits as the text has shingles, or up to twice as many. Two texts differ in at least as many shingles as their sketches in
+bits (the longer one folded to the size of the other), so near kinds whose sketches or sizes differ too much can't be similar,
+and are no candidates; nothing is lost by that. Sketches grow with the text, so that they tell long texts apart as well.
+
+*Verification.* First each kind is compared with one candidate, of those that a task has found the one with the closest
+sketch. The few that are not similar to it go on: round after round they are compared with the closest 16, 256, 4096 ...
+candidates, until one is similar or none is left. Texts meet by joins of single rows; no group is gathered.
 
 Nulls: a null text is an empty one; rows with a null id stay. Texts with fewer than five words are one shingle of all of
 them; texts without words are alike. Of rows that repeat id and text, the first by the JSON of their other columns stays.
@@ -29,21 +34,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, drop, fresh, give_back
+from .shared import cut, drop, fresh, give_back, offsets, values
 from .simhash import SEED, ring, word_blocks
+from .suffix_dedup import free
 from .tokens import mix, shingles
 
 SALTS = 2
-#: Bits of a text's sketch; word hashes that a task keeps.
-BITS, WORDS = 512, 300_000
-#: What a list holds of each kind.
-OWN = ["id", "k", "fp", "size", "bits"]
+#: Least bits of a text's sketch; word hashes that a task keeps.
+BITS, WORDS = 64, 300_000
+#: What a list holds of each kind; buckets to a list, whose kinds are compared by a further segment.
+OWN, LISTED = ["id", "k", "fps", "size", "bits"], 16
 
 
 def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
@@ -70,11 +77,11 @@ def prints(hashes: np.ndarray, salts: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray, words: int) -> tuple[int, np.ndarray]:
-    """Number of distinct shingles of a text, and a bitmap with a bit set for each."""
+    """Number of distinct shingles of a text, and a bitmap that tells on which bits an odd number of them falls."""
     own = np.unique(shingles(hashes, min(words, len(hashes)))) if len(hashes) else np.zeros(1, np.uint64)
-    bits = np.zeros(BITS, bool)
-    bits[(own % np.uint64(BITS)).astype(np.int64)] = True
-    return len(own), np.packbits(bits)
+    width = max(BITS, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return len(own), np.packbits(odd.astype(bool))
 
 
 def text_prints(docs: DataFrame, salts: int, words: int) -> DataFrame:
@@ -86,177 +93,262 @@ def text_prints(docs: DataFrame, salts: int, words: int) -> DataFrame:
             fps, sizes, bitmaps = [], [], []
             for t in batch.column("text"):
                 hashes = word_hashes(t.as_py(), known)
-                fps.append(prints(hashes, salts).view(np.int64).tolist())
+                fps.append(prints(hashes, salts).tobytes())
                 size, bits = sketch(hashes, words)
                 sizes.append(size)
                 bitmaps.append(bits.tobytes())
                 if len(known) > WORDS:
                     known.clear()
-            columns = [*(batch.column(x) for x in ("doc_id", "k", "c")), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary())]
+            columns = [*(batch.column(x) for x in ("doc_id", "k", "c")), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "c", "fps", "size", "bits"])
         give_back()
 
     rows = docs.select("doc_id", text_key().alias("k"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, c long, fps array<bigint>, size long, bits binary")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, c long, fps binary, size long, bits binary")
 
 
 def text_key():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def own_schema(kind: str) -> str:
-    return f"id {kind}, k long, fp long, size long, bits binary"
-
-
-def spread(own: DataFrame, segments: int, kind: str) -> DataFrame:
-    """(key, start, used, *OWN) of own(salt, *OWN): a row for each segment of the ring; used: the bits in the key."""
-    masks = ring(segments)
+#: What a row of a list is for.
+TARGET, SEEKER = 1, 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp, salt = batch.column("fp").to_numpy().view(np.uint64), batch.column("salt").to_numpy().astype(np.uint64)
-            for start, mask in enumerate(masks):
-                key = mix(mix(fp & np.uint64(mask)) + salt * np.uint64(segments) + np.uint64(start))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(fp), start, np.int32)), pa.array(np.full(len(fp), mask, np.uint64).view(np.int64)), *(batch.column(x) for x in OWN)], names=["key", "start", "used", *OWN])
 
-    return own.select("salt", *OWN).mapInArrow(run, f"key long, start int, used long, {own_schema(kind)}")
+def plain(column: pa.Array) -> np.ndarray:
+    """The numbers of a binary column, a row for each value; all have as many."""
+    at = offsets(column)
+    return values(column)[at[0] : at[-1]].copy().view(np.uint64).reshape(len(column), -1)
 
 
-def split_keys(keyed: DataFrame, distance: int, kind: str) -> DataFrame:
-    """Rows of crowded keys, each under distance + 1 longer ones: of the bits outside a key, one part of so many is equal."""
+def spread(kinds: DataFrame, salts: int, segments: int, kind: str, own: list[str] = OWN) -> DataFrame:
+    """(key, start, *own) of kinds(fps, *own): a row for each salt and segment of the ring, numbered by start."""
+    masks, types = ring(segments), dict(id=kind, k="long", fps="binary", size="long", bits="binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, used, fp = (batch.column(x).to_numpy().view(np.uint64) for x in ("key", "used", "fp"))
-            for mask in np.unique(used).tolist():
-                rows = np.flatnonzero(used == np.uint64(mask))
-                some = batch.take(pa.array(rows))
-                free = [b for b in range(64) if not mask >> b & 1]
-                for n, bits in enumerate(np.array_split(np.array(free, np.int64), distance + 1)):
-                    if len(bits):
-                        own = sum(1 << int(b) for b in bits)
-                        longer = mix(mix(key[rows] + np.uint64(n + 1)) + mix(fp[rows] & np.uint64(own)))
-                        yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), some.column("start"), pa.array(np.full(len(rows), mask | own, np.uint64).view(np.int64)), *(some.column(x) for x in OWN)], names=["key", "start", "used", *OWN])
-
-    return keyed.mapInArrow(run, f"key long, start int, used long, {own_schema(kind)}")
-
+            if not batch.num_rows:
+                continue
+            fps = plain(batch.column("fps"))
+            for start in range(salts * segments):
+                key = mix(mix(fps[:, start // segments] & np.uint64(masks[start % segments])) + np.uint64(start))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(fps), start, np.int32)), *(batch.column(x) for x in own)], names=["key", "start", *own])
 
-def blocked(own: DataFrame, n: int, distance: int, segments: int, bucket: int, kind: str) -> DataFrame:
-    """(key, start, *OWN) with keys long enough that of n fingerprints a quarter of `bucket` would share one by chance."""
-    rows, bits = spread(own, segments, kind), 64 // segments
-    while bits < 48 and n >> bits > bucket // 4:
-        rows, bits = split_keys(rows, distance, kind), bits + (64 - bits) // (distance + 1)
-    return cut(rows.select("key", "start", *OWN), "near-keys")
+    return kinds.select(*dict.fromkeys(["fps", *own])).mapInArrow(run, ", ".join(["key long", "start int", *(f"{x} {types[x]}" for x in own)]))
 
 
-#: What a row of a list is for.
-TARGET, SEEKER = 1, 2
-
+def longer(keyed: DataFrame, distance: int, segments: int, kind: str) -> DataFrame:
+    """Rows of keyed(key, start, *OWN, role) under keys with the next segment: targets under their own, seekers under each that may be near."""
+    masks, most = ring(segments), 2 * distance // segments
 
-def lists(*parts: DataFrame) -> DataFrame:
-    """(start, ids, ks, fps, roles, sizes, bitss) of the rows(key, part, start, *OWN, role) of each key and part, by (id, k)."""
-    rows = reduce(DataFrame.union, [x.select("key", "part", "start", *OWN, "role") for x in parts])
-    has = lambda bit: F.max(F.col("role").bitwiseAND(bit))
-    by_key = rows.groupBy("key", "part").agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct(*OWN, "role"))).alias("x"), (has(TARGET) + has(SEEKER)).alias("both"))
-    return by_key.where(f"size(x) > 1 AND both = {TARGET + SEEKER}").select("start", *(F.col(f"x.{c}").alias(f"{c}s") for c in (*OWN, "role")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, fps, start = batch.column("key").to_numpy().view(np.uint64), plain(batch.column("fps")), batch.column("start").to_numpy()
+            role = batch.column("role").to_numpy()
+            for n in np.unique(start).tolist():
+                mask = masks[(n + 1) % segments]
+                bits = [b for b in range(64) if mask >> b & 1]
+                for some in (x for size in range(min(most, len(bits)) + 1) for x in combinations(bits, size)):
+                    rows = np.flatnonzero((start == n) & (role & (SEEKER if some else SEEKER | TARGET) > 0))
+                    near = fps[rows, n // segments] & np.uint64(mask) ^ np.uint64(sum(1 << b for b in some))
+                    here = batch.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(mix(key[rows] + np.uint64(1)) + mix(near)).view(np.int64)), *(here.column(x) for x in ("start", *OWN)), pa.array(role[rows] & (SEEKER if some else SEEKER | TARGET))], names=["key", "start", *OWN, "role"])
+
+    return keyed.select("key", "start", *OWN, "role").mapInArrow(run, f"key long, start int, id {kind}, k long, fps binary, size long, bits binary, role int")
 
 
 class Crowd:
     """The kinds of a list, by (id, k)."""
 
-    def __init__(self, batch: pa.RecordBatch, row: int):
-        self.ids, self.ks, fps, sizes, roles, bits = (batch.column(f"{c}s")[row].values for c in ("id", "k", "fp", "size", "role", "bits"))
-        self.fps, self.k, self.sizes = fps.to_numpy().view(np.uint64), self.ks.to_numpy(), sizes.to_numpy()
-        self.bits = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(self.k), -1)
-        role = roles.to_numpy()
-        self.seekers, self.targets, self.start = np.flatnonzero(role & SEEKER), np.flatnonzero(role & TARGET), batch.column("start")[row].as_py()
-
-    def near(self, masks: list[int], distance: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-        """(place of a seeker, places of the targets before it that are near, in ascending order).
-
-        A chain that breaks its budget ends a comparison. Then the sketches are compared: two texts differ in as many
-        shingles as their sketches in bits, or more; with too many for the similarity they are not candidates."""
-        m = len(masks)
-        for some in np.array_split(self.seekers, max(1, len(self.seekers) * len(self.targets) >> 20)):
-            j = self.targets[self.targets < some.max()]
-            i, j = np.repeat(some, len(j)), np.tile(j, len(some))
-            differ, chain = self.fps[i] ^ self.fps[j], np.uint64(0)
-            for n in range(1, m + 1):
-                chain |= np.uint64(masks[(self.start + n - 1) % m])
-                ok = np.bitwise_count(differ & chain) <= n * distance // m
-                i, j, differ = i[ok], j[ok], differ[ok]
-            ok = (i > j) & (self.k[i] != self.k[j])
-            i, j = i[ok], j[ok]
-            apart = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(1, dtype=np.int64) for x, y in zip(np.array_split(i, len(i) // STEP + 1), np.array_split(j, len(i) // STEP + 1), strict=True))])
-            # similar: |A xor B| <= (1 - s) / (1 + s) * (|A| + |B|)
-            ok = apart * (1 + similarity) <= (1 - similarity) * (self.sizes[i] + self.sizes[j]) + 1e-6
+    def __init__(self, rows: pa.RecordBatch, segments: int, distance: int, similarity: float):
+        self.ids, self.ks, self.masks, self.distance, self.similarity = rows.column("id"), rows.column("k"), [np.uint64(x) for x in ring(segments)], distance, similarity
+        self.k, self.sizes, self.prints = self.ks.to_numpy(), rows.column("size").to_numpy(), plain(rows.column("fps"))
+        self.salt, self.start = divmod(rows.column("start")[0].as_py(), segments)
+        self.fps = self.prints[:, self.salt].copy()
+        self.at, self.bytes = offsets(rows.column("bits")), values(rows.column("bits"))
+        self.width = np.diff(self.at)
+        role = rows.column("role").to_numpy()
+        self.seekers, self.targets = np.flatnonzero(role & SEEKER), np.flatnonzero(role & TARGET)
+
+    def meetings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(seekers, targets) that may be near: in long lists, by the bits of the segment after the key's."""
+        if len(self.seekers) * len(self.targets) <= STEP:
+            yield self.seekers, self.targets
+            return
+        points, at = np.unique(self.fps & self.masks[(self.start + 1) % len(self.masks)], return_inverse=True)
+        for n in np.unique(at[self.seekers]).tolist():
+            close = np.bitwise_count(points ^ points[n]) <= 2 * self.distance // len(self.masks)
+            yield self.seekers[at[self.seekers] == n], self.targets[close[at[self.targets]]]
+
+    def chains(self, differ: np.ndarray, start: int) -> np.ndarray:
+        """Which of the differences keep the budget of every chain from a start on."""
+        m, ok, chain = len(self.masks), np.arange(len(differ)), np.uint64(0)
+        for n in range(1, m + 1):
+            chain |= self.masks[(start + n - 1) % m]
+            keep = np.bitwise_count(differ & chain) <= n * self.distance // m
+            ok, differ = ok[keep], differ[keep]
+        return ok
+
+    def near(self, some: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(seeker, target before it, how far apart) of the candidates among these, each pair at its first salt and start."""
+        j = j[j < some.max()] if len(some) else j
+        x, y = np.nonzero(np.bitwise_count(self.fps[some][:, None] ^ self.fps[j]) <= self.distance)
+        i, j = some[x], j[y]
+        ok = self.chains(self.fps[i] ^ self.fps[j], self.start)
+        i, j = i[ok], j[ok]
+        small, large = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
+        ok = (i > j) & (self.k[i] != self.k[j]) & (small >= self.similarity * large - 1e-6)
+        for salt in range(self.salt):
+            ok &= np.bitwise_count(self.prints[i, salt] ^ self.prints[j, salt]) > self.distance
+        i, j = i[ok], j[ok]
+        for start in range(self.start):
+            ok = np.ones(len(i), bool)
+            ok[self.chains(self.fps[i] ^ self.fps[j], start)] = False
             i, j = i[ok], j[ok]
-            begin = np.flatnonzero(np.diff(i, prepend=-1))
-            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(i)], strict=False):
-                yield int(i[a]), j[a:b]
-
-
-#: Sketches that are compared at once.
+        apart, sizes = self.apart(i, j), self.sizes[i] + self.sizes[j]
+        # similar: |A xor B| <= (1 - s) / (1 + s) * (|A| + |B|)
+        ok = apart * (1 + self.similarity) <= (1 - self.similarity) * sizes + 1e-6
+        return i[ok], j[ok], apart[ok] / sizes[ok]
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which sketches differ, the longer one folded to the size of the other."""
+        out, width = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for w in np.unique(width).tolist():
+            pairs = np.flatnonzero(width == w)
+            for some in np.array_split(pairs, len(pairs) * w // (STEP * 64) + 1):
+                rows, at = np.unique(np.concatenate([i[some], j[some]]), return_inverse=True)
+                folded = np.zeros((len(rows), w), np.uint8)
+                for own in np.unique(self.width[rows]).tolist():
+                    those = np.flatnonzero(self.width[rows] == own)
+                    whole = self.bytes[self.at[rows[those]][:, None] + np.arange(own)]
+                    folded[those] = np.bitwise_xor.reduce(whole.reshape(len(those), own // w, w), axis=1)
+                folded = folded.view(np.uint64)
+                out[some] = np.bitwise_count(folded[at[: len(some)]] ^ folded[at[len(some) :]]).sum(1, dtype=np.int64)
+        return out
+
+    def candidates(self, most: int, bucket: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(seeker, target, how far apart): of each seeker its closest `most` candidates here; if one is asked for, the
+        closest of the first `bucket` targets that hold any."""
+        for seekers, targets in self.meetings():
+            for j in np.array_split(targets, -(-len(targets) // bucket)) if most == 1 and len(targets) else [targets]:
+                found = [np.zeros(0, np.int64)]
+                for some in np.array_split(seekers, max(1, len(seekers) * len(j) >> 20)):
+                    x, y, gap = self.near(some, j)
+                    order = np.lexsort((y, gap, x))
+                    x, y, gap = x[order], y[order], gap[order]
+                    begin = np.flatnonzero(np.diff(x, prepend=-1))
+                    keep = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x)))) < most
+                    if len(x):
+                        yield x[keep], y[keep], gap[keep]
+                    found.append(x[begin])
+                seekers = np.setdiff1d(seekers, np.concatenate(found), assume_unique=True)
+
+
+#: Pairs that are looked at one by one; sketches that are compared at once.
 STEP = 1 << 17
 
 
-def compared(keys: DataFrame, distance: int, segments: int, similarity: float, kind: str, most: int) -> DataFrame:
-    """(id, k, j_id, j_k): of each seeker, the first `most` candidates of its list."""
-    masks = ring(segments)
+def compared(rows: DataFrame, distance: int, segments: int, similarity: float, kind: str, bucket: int, most: int) -> DataFrame:
+    """(id, k, j_id, j_k, gap): of each seeker of the lists (rows of equal key and part), up to `most` candidates of its list."""
+
+    def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(x.num_rows for x in held) > 1:
+            crowd = Crowd(pa.Table.from_batches(held).combine_chunks().to_batches()[0], segments, distance, similarity)
+            if some := list(crowd.candidates(most, bucket)):
+                i, j, gap = (pa.array(np.concatenate(x)) for x in zip(*some, strict=True))
+                yield pa.RecordBatch.from_arrays([*(x.take(at) for at in (i, j) for x in (crowd.ids, crowd.ks)), gap], names=["id", "k", "j_id", "j_k", "gap"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
         for batch in batches:
-            for row in range(batch.num_rows):
-                crowd = Crowd(batch, row)
-                some = [(np.full(min(most, len(js)), i), js[:most]) for i, js in crowd.near(masks, distance, similarity)]
-                if some:
-                    i, j = (pa.array(np.concatenate(x)) for x in zip(*some, strict=True))
-                    yield pa.RecordBatch.from_arrays([x.take(at) for at in (i, j) for x in (crowd.ids, crowd.ks)], names=["id", "k", "j_id", "j_k"])
+            key, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+                if b > a:
+                    if (now := (key[a], part[a])) != last:
+                        yield from answer(held)
+                        held, last = [], now
+                    held.append(batch.slice(a, b - a))
+        yield from answer(held)
         give_back()
 
-    return keys.mapInArrow(run, f"id {kind}, k long, j_id {kind}, j_k long")
+    rows = rows.select("key", "part", "start", *OWN, "role").repartition("key", "part").sortWithinPartitions("key", "part", "id", "k")
+    return rows.mapInArrow(run, f"id {kind}, k long, j_id {kind}, j_k long, gap double")
 
 
 class Candidates:
-    """Which kinds are near each other, key by key. Crowded keys are dealt out in parts, none of which holds more than
-    twice `bucket` rows: the targets of a part are met by the seekers that are left, in as many copies as there are parts."""
-
-    def __init__(self, own: DataFrame, n: int, distance: int, segments: int, similarity: float, bucket: int, kind: str):
-        self.how, self.bucket = (distance, segments, similarity, kind), bucket
-        self.keyed = blocked(own, n, distance, segments, bucket, kind)
-        sizes = self.keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
-        self.crowded = cut(sizes.select("key", F.ceil(F.col("n") / bucket).cast("int").alias("parts")), "near-crowded")
-        self.calm = self.crowded.isEmpty()
-        self.tables = [self.keyed, self.crowded]
+    """Which kinds(id, k, fps, size, bits) are near each other, key by key. No part of a key holds more than twice
+    `LISTED * bucket` rows."""
+
+    def __init__(self, kinds: DataFrame, n: int, salts: int, distance: int, segments: int, similarity: float, bucket: int, kind: str):
+        self.kinds, self.n, self.salts, self.distance, self.segments, self.bucket, self.kind = kinds, n, salts, distance, segments, bucket, kind
+        self.how, self.most_rows = (distance, segments, similarity, kind, bucket), bucket * LISTED
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(cut(df, name))
+        return self.tables[-1]
+
+    def keyed(self, kinds: DataFrame, role: int) -> DataFrame:
+        return spread(kinds, self.salts, self.segments, self.kind).withColumn("role", F.lit(role))
+
+    def crowded(self, keys: DataFrame) -> DataFrame | None:
+        """The keys that more rows share than a list takes, if any."""
+        if self.n <= self.most_rows:
+            return None
+        out = self.keep(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > self.most_rows).select("key"), "near-crowded")
+        return None if out.isEmpty() else out
+
+    def dealt(self, seekers: DataFrame, targets: DataFrame) -> DataFrame:
+        """Rows of lists in which all seekers and targets of a key meet, in as many parts as it takes."""
+        parts = [F.col(x) for x in ("seeker_parts", "target_parts")]
+        counts = [F.ceil(F.count(F.when(F.col("role") == bit, 1)) / self.most_rows).cast("int").alias(x) for bit, x in ((SEEKER, "seeker_parts"), (TARGET, "target_parts"))]
+        seekers, targets = seekers.withColumn("role", F.lit(SEEKER)), targets.withColumn("role", F.lit(TARGET))
+        if self.n <= self.most_rows:
+            return seekers.union(targets.select(*seekers.columns)).withColumn("part", F.lit(0))
+        sizes = seekers.select("key", "role").union(targets.select("key", "role")).groupBy("key").agg(*counts)
+        sizes = self.keep(sizes.where((parts[0] > 1) | (parts[1] > 1)), "near-parts")
+        seekers, targets = (x.join(sizes, "key", "left").withColumns({c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in ("seeker_parts", "target_parts")}) for x in (seekers, targets))
+        own = [F.pmod(F.xxhash64("k"), x).cast("int") for x in parts]
+        every = [F.explode(F.sequence(F.lit(0), x - 1)) for x in parts]
+        seekers = seekers.withColumn("other", every[1]).withColumn("part", own[0] * parts[1] + F.col("other"))
+        targets = targets.withColumn("other", every[0]).withColumn("part", F.col("other") * parts[1] + own[1])
+        return seekers.union(targets.select(*seekers.columns))
 
     def first(self) -> DataFrame:
-        """(id, k, j_id, j_k): of each kind that has candidates, some of the first of them."""
-        part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
-        alone = (self.keyed if self.calm else self.keyed.join(self.crowded, "key", "left_anti")).withColumns({"part": F.lit(0), "role": F.lit(TARGET | SEEKER)})
-        found = compared(lists(alone), *self.how, 1)
-        if self.calm:
-            return found
-        busy = cut(self.keyed.join(self.crowded, "key"), "near-busy")
+        """(id, k, j_id, j_k, gap): of each kind that has candidates, some of them."""
+        keyed, alone = self.keyed(self.kinds, TARGET | SEEKER), F.lit(0).alias("part")
+        crowded = self.crowded(spread(self.kinds, self.salts, self.segments, self.kind, []))
+        if crowded is None:
+            return compared(keyed.select("*", alone), *self.how, 1)
+        found = compared(keyed.join(crowded, "key", "left_anti").select("*", alone), *self.how, 1)
+        busy = self.keep(longer(keyed.join(crowded, "key", "left_semi"), self.distance, self.segments, self.kind), "near-busy")
+        crowded = self.crowded(busy)
+        if crowded is None:
+            return found.union(compared(busy.select("*", alone), *self.how, 1))
+        found = found.union(compared(busy.join(crowded, "key", "left_anti").select("*", alone), *self.how, 1))
+        busy = busy.join(crowded, "key", "left_semi")
+        seekers, targets = (busy.where(F.col("role").bitwiseAND(bit) > 0) for bit in (SEEKER, TARGET))
         # the first of a key are met by all others of it; in a dense crowd that leaves few
-        heads = busy.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id", "k"))).where(F.col("n") <= self.bucket)
-        spread_out = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        heads = heads.withColumns({"part": spread_out, "role": F.lit(TARGET)})
-        found = cut(found.union(compared(lists(heads, busy.withColumns({"part": part, "role": F.lit(SEEKER)})), *self.how, 1)), "near-found")
-        rest = busy.join(found.select("id", "k").distinct(), ["id", "k"], "left_anti").withColumns({"part": spread_out, "role": F.lit(SEEKER)})
-        self.tables += [busy, found]
-        return found.union(compared(lists(rest, busy.withColumns({"part": part, "role": F.lit(TARGET)})), *self.how, 1))
+        heads = targets.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id", "k"))).where(F.col("n") <= self.bucket).drop("n")
+        found = self.keep(found.union(compared(self.dealt(seekers, heads), *self.how, 1)), "near-found")
+        rest = seekers.join(found.select("id", "k").distinct(), ["id", "k"], "left_anti").select(*seekers.columns)
+        return found.union(compared(self.dealt(rest, targets), *self.how, 1))
 
     def more(self, left: DataFrame, most: int) -> DataFrame:
-        """(id, k, j_id, j_k): of each kind of left(id, k), its first `most` candidates and some later ones."""
-        asked = self.keyed.join(left, ["id", "k"], "left_semi")
-        seekers, targets = (x.join(self.crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))) for x in (asked, self.keyed.join(asked.select("key").distinct(), "key", "left_semi")))
-        seekers = seekers.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(SEEKER)})
-        targets = targets.withColumns({"part": F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"), "role": F.lit(TARGET)})
-        return compared(lists(seekers, targets), *self.how, most)
+        """(id, k, j_id, j_k, gap): of each kind of left(id, k), its closest `most` candidates and some others."""
+        seekers = longer(self.keyed(self.kinds.join(left, ["id", "k"], "left_semi"), SEEKER), self.distance, self.segments, self.kind)
+        seekers = self.keep(seekers, "near-seekers")
+        asked = self.keep(seekers.select("key").distinct(), "near-asked")
+        targets = longer(self.keyed(self.kinds, TARGET), self.distance, self.segments, self.kind).join(asked, "key", "left_semi")
+        return compared(self.dealt(seekers, targets), *self.how, most)
 
     def drop(self) -> None:
         for x in self.tables:
             drop(x)
+        self.tables = []
 
 
 def shingle_set(text: str, n: int) -> set[bytes]:
@@ -295,31 +387,39 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, words: int, k
     return out
 
 
-def similar_kinds(docs: DataFrame, kinds: DataFrame, similarity: float, words: int, distance: int, segments: int, bucket: int) -> list[DataFrame]:
+def similar_kinds(docs: DataFrame, kinds: DataFrame, similarity: float, words: int, distance: int, segments: int, salts: int, bucket: int) -> list[DataFrame]:
     """Tables of (id, k) of the kinds(id, k, fps, size, bits) that are similar to a candidate before them."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    own = kinds.select("id", "k", F.posexplode("fps").alias("salt", "fp"), "size", "bits")
-    candidates = Candidates(own, kinds.count(), distance, segments, similarity, bucket, kind)
-    first = candidates.first().groupBy("id", "k").agg(F.min(F.struct("j_id", "j_k")).alias("j"))
+    kind, spark = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession
+    candidates = Candidates(kinds, kinds.count(), salts, distance, segments, similarity, bucket, kind)
+    first = candidates.first().groupBy("id", "k").agg(F.min(F.struct("gap", "j_id", "j_k")).alias("j"))
     pairs = cut(first.select("id", "k", "j.j_id", "j.j_k"), "near-pairs")
+    del first
+    candidates.drop()
+    free(spark)
     gone = [verified(docs, pairs, similarity, words, kind)]
     left = cut(pairs.select("id", "k").join(gone[0], ["id", "k"], "left_anti"), "near-left")
-    most = 4
+    before, most = 0, ROUND
     while not left.isEmpty():
-        found = candidates.more(left, most).distinct()
-        found = cut(found.withColumn("n", F.row_number().over(Window.partitionBy("id", "k").orderBy("j_id", "j_k"))).where(F.col("n") <= most), "near-pairs")
-        new = verified(docs, found.where(F.col("n") > (most // 4 if most > 4 else 0)), similarity, words, kind)
+        ranked = candidates.more(left, most).withColumn("n", F.row_number().over(Window.partitionBy("id", "k").orderBy("gap", "j_id", "j_k")))
+        found = cut(ranked.where(F.col("n") <= most), "near-pairs")
+        del ranked
+        candidates.drop()
+        new = verified(docs, found.where(F.col("n") > before).drop("n", "gap"), similarity, words, kind)
         gone.append(new)
         after = cut(found.where(F.col("n") == most).select("id", "k").join(new, ["id", "k"], "left_anti"), "near-left")
         drop(left)
         drop(found)
-        left, most = after, most * 4
-    candidates.drop()
+        left, before, most = after, most, most * ROUND
     for x in (pairs, left):
         drop(x)
+    free(spark)
     return gone
 
 
+#: How many candidates the kinds that are left meet in a round, and how many times more in the next.
+ROUND = 16
+
+
 def surplus(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, distance: int = 7, segments: int = 8, salts: int = SALTS, bucket: int = 4096) -> DataFrame:
     """(doc_id, k) of documents that an earlier one stands for; k is the text's hash."""
     whole = docs.where("doc_id IS NOT NULL")
@@ -329,7 +429,7 @@ def surplus(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, distanc
     copies = known.join(kinds.where("id < last_id").select("k", "c", "id"), ["k", "c"]).where("doc_id <> id").select("doc_id", "k").distinct()
     copies = cut(copies, "near-copies")
     drop(known)
-    gone = similar_kinds(whole, kinds.select("id", "k", "fps", "size", "bits"), similarity, words, distance, segments, bucket)
+    gone = similar_kinds(whole, kinds.select(*OWN), similarity, words, distance, segments, salts, bucket)
     out = cut(reduce(DataFrame.union, [copies, *gone]), "near-surplus")
     for x in (kinds, copies, *gone):
         drop(x)

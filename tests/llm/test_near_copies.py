@@ -115,3 +115,41 @@ def test_sketches_lose_no_similar_pair():
             apart = sum(int(v).bit_count() for v in x ^ y)
             one, two = near.shingle_set(text, 5), near.shingle_set(other, 5)
             assert (a, b) == (len(one), len(two)) and apart <= len(one ^ two)
+
+
+@pytest.mark.parametrize(("bucket", "listed"), [(1, 16), (2, 1)])
+def test_crowded_keys_against_brute_force(spark, monkeypatch, bucket, listed):
+    """Keys longer by a segment, then in parts, in which seekers and targets are both too many for a list."""
+    monkeypatch.setattr(near, "LISTED", listed)
+    monkeypatch.setattr(near, "ROUND", 4)
+    monkeypatch.setattr(near, "STEP", 8)
+    rng = random.Random(bucket)
+    base = [f"w{i}" for i in range(80)]
+    texts = [t for n in (3, 30) for t in family(rng, n)] + [" ".join(rng.sample(base, len(base))) for _ in range(20)]
+    texts += [f"{t} {t.split()[0]}" for t in texts[33::6]] + ["", " ", None]
+    rng.shuffle(texts)
+    assert left(spark, texts, bucket=bucket) == brute(list(enumerate(texts)))
+
+
+def test_rows_and_candidates_do_not_grow_with_the_table(spark):
+    """A kind has a row for each salt and segment, however many kinds there are; long texts of the same words in other
+    orders, whose fingerprints are equal, are no candidates."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(1500)]
+    texts = [" ".join(rng.sample(base, len(base))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = near.cut(near.text_prints(docs, near.SALTS, 5).withColumnRenamed("doc_id", "id"), "t")
+    found = near.Candidates(kinds, 100_000_000, near.SALTS, 7, 8, 0.8, 4096, "bigint")
+    assert found.keyed(kinds, 3).count() == 40 * 8 * near.SALTS
+    assert found.first().count() == 0
+
+
+def test_pairs_are_made_once(spark):
+    rng = random.Random(12)
+    texts = list(dict.fromkeys(family(rng, 30)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = near.cut(near.text_prints(docs, near.SALTS, 5).withColumnRenamed("doc_id", "id"), "t")
+    found = near.Candidates(kinds, len(texts), near.SALTS, 7, 8, 0.8, 4096, "bigint")
+    pairs = [(r.id, r.j_id) for r in found.more(kinds.select("id", "k"), 100).collect()]
+    want = {(i, j) for i, j in similar_pairs(list(enumerate(texts))) if min((int(a) ^ int(b)).bit_count() for a, b in zip(*(near.prints(near.word_hashes(texts[x], {}), near.SALTS) for x in (i, j)), strict=True)) <= 7}
+    assert len(pairs) == len(set(pairs)) and want <= set(pairs)
