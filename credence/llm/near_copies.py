@@ -174,7 +174,7 @@ class Crowd:
 
     def meetings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(seekers, targets) that may be near: in long lists, by the bits of the segment after the key's."""
-        if len(self.seekers) * len(self.targets) <= STEP:
+        if len(self.seekers) * len(self.targets) <= PAIRS:
             yield self.seekers, self.targets
             return
         points, at = np.unique(self.fps & self.masks[(self.start + 1) % len(self.masks)], return_inverse=True)
@@ -246,8 +246,8 @@ class Crowd:
                 seekers = np.setdiff1d(seekers, np.concatenate(found), assume_unique=True)
 
 
-#: Pairs that are looked at one by one; sketches that are compared at once.
-STEP = 1 << 17
+#: Sketches that are compared at once; pairs of fingerprints that a list compares without the next segment.
+STEP, PAIRS = 1 << 17, 1 << 23
 
 
 def compared(rows: DataFrame, distance: int, segments: int, similarity: float, kind: str, bucket: int, most: int) -> DataFrame:

@@ -122,7 +122,7 @@ def test_crowded_keys_against_brute_force(spark, monkeypatch, bucket, listed):
     """Keys longer by a segment, then in parts, in which seekers and targets are both too many for a list."""
     monkeypatch.setattr(near, "LISTED", listed)
     monkeypatch.setattr(near, "ROUND", 4)
-    monkeypatch.setattr(near, "STEP", 8)
+    monkeypatch.setattr(near, "PAIRS", 8)
     rng = random.Random(bucket)
     base = [f"w{i}" for i in range(80)]
     texts = [t for n in (3, 30) for t in family(rng, n)] + [" ".join(rng.sample(base, len(base))) for _ in range(20)]
