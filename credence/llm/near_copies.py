@@ -21,9 +21,11 @@ bits as the text has shingles, or up to twice as many. Two texts differ in at le
 bits (the longer one folded to the size of the other), so near kinds whose sketches or sizes differ too much can't be similar,
 and are no candidates; nothing is lost by that. Sketches grow with the text, so that they tell long texts apart as well.
 
-*Verification.* First each kind is compared with one candidate, of those that a task has found the one with the closest
-sketch. The few that are not similar to it go on: round after round they are compared with the closest 16, 256, 4096 ...
-candidates, until one is similar or none is left. Texts meet by joins of single rows; no group is gathered.
+*Verification.* A list gives each kind its closest candidate, and if that one is not clearly close by its sketch, up to 16,
+with a mark whether there may be others. First each kind is compared with the closest of its candidates, then the few that
+are not similar to it with all of them. Who has a mark and is not similar to any goes on: round after round such kinds look
+their candidates up anew and are compared with the closest 16, 256, 4096 ..., until one is similar or none is left. Texts
+meet by joins of single rows; no group is gathered.
 
 Nulls: a null text is an empty one; rows with a null id stay. Texts with fewer than five words are one shingle of all of
 them; texts without words are alike. Of rows that repeat id and text, the first by the JSON of their other columns stays.
@@ -121,42 +123,66 @@ def plain(column: pa.Array) -> np.ndarray:
     return values(column)[at[0] : at[-1]].copy().view(np.uint64).reshape(len(column), -1)
 
 
+def spread_rows(batches: Iterator[pa.RecordBatch], salts: int, segments: int, own: list[str]) -> Iterator[pa.RecordBatch]:
+    masks = ring(segments)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fps = plain(batch.column("fps"))
+        for start in range(salts * segments):
+            key = mix(mix(fps[:, start // segments] & np.uint64(masks[start % segments])) + np.uint64(start))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(fps), start, np.int32)), *(batch.column(x) for x in own)], names=["key", "start", *own])
+
+
 def spread(kinds: DataFrame, salts: int, segments: int, kind: str, own: list[str] = OWN) -> DataFrame:
     """(key, start, *own) of kinds(fps, *own): a row for each salt and segment of the ring, numbered by start."""
-    masks, types = ring(segments), dict(id=kind, k="long", fps="binary", size="long", bits="binary")
+    types = dict(id=kind, k="long", fps="binary", size="long", bits="binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fps = plain(batch.column("fps"))
-            for start in range(salts * segments):
-                key = mix(mix(fps[:, start // segments] & np.uint64(masks[start % segments])) + np.uint64(start))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(fps), start, np.int32)), *(batch.column(x) for x in own)], names=["key", "start", *own])
+        return spread_rows(batches, salts, segments, own)
 
     return kinds.select(*dict.fromkeys(["fps", *own])).mapInArrow(run, ", ".join(["key long", "start int", *(f"{x} {types[x]}" for x in own)]))
 
 
+def longer_rows(batches: Iterator[pa.RecordBatch], distance: int, segments: int) -> Iterator[pa.RecordBatch]:
+    masks, most = ring(segments), 2 * distance // segments
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, fps, start = batch.column("key").to_numpy().view(np.uint64), plain(batch.column("fps")), batch.column("start").to_numpy()
+        role = batch.column("role").to_numpy()
+        for n in np.unique(start).tolist():
+            mask = masks[(n + 1) % segments]
+            bits = [b for b in range(64) if mask >> b & 1]
+            for some in (x for size in range(min(most, len(bits)) + 1) for x in combinations(bits, size)):
+                rows = np.flatnonzero((start == n) & (role & (SEEKER if some else SEEKER | TARGET) > 0))
+                near = fps[rows, n // segments] & np.uint64(mask) ^ np.uint64(sum(1 << b for b in some))
+                here = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(mix(mix(key[rows] + np.uint64(1)) + mix(near)).view(np.int64)), *(here.column(x) for x in ("start", *OWN)), pa.array(role[rows] & (SEEKER if some else SEEKER | TARGET))], names=["key", "start", *OWN, "role"])
+
+
+def longer_columns(kind: str) -> str:
+    return f"key long, start int, id {kind}, k long, fps binary, size long, bits binary, role int"
+
+
 def longer(keyed: DataFrame, distance: int, segments: int, kind: str) -> DataFrame:
     """Rows of keyed(key, start, *OWN, role) under keys with the next segment: targets under their own, seekers under each that may be near."""
-    masks, most = ring(segments), 2 * distance // segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, fps, start = batch.column("key").to_numpy().view(np.uint64), plain(batch.column("fps")), batch.column("start").to_numpy()
-            role = batch.column("role").to_numpy()
-            for n in np.unique(start).tolist():
-                mask = masks[(n + 1) % segments]
-                bits = [b for b in range(64) if mask >> b & 1]
-                for some in (x for size in range(min(most, len(bits)) + 1) for x in combinations(bits, size)):
-                    rows = np.flatnonzero((start == n) & (role & (SEEKER if some else SEEKER | TARGET) > 0))
-                    near = fps[rows, n // segments] & np.uint64(mask) ^ np.uint64(sum(1 << b for b in some))
-                    here = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(mix(key[rows] + np.uint64(1)) + mix(near)).view(np.int64)), *(here.column(x) for x in ("start", *OWN)), pa.array(role[rows] & (SEEKER if some else SEEKER | TARGET))], names=["key", "start", *OWN, "role"])
-
-    return keyed.select("key", "start", *OWN, "role").mapInArrow(run, f"key long, start int, id {kind}, k long, fps binary, size long, bits binary, role int")
+        return longer_rows(batches, distance, segments)
+
+    return keyed.select("key", "start", *OWN, "role").mapInArrow(run, longer_columns(kind))
+
+
+def spread_longer(kinds: DataFrame, role: int, salts: int, distance: int, segments: int, kind: str) -> DataFrame:
+    """longer() of the rows that spread() makes, in one Python worker: each of two in a row would keep its memory when idle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keyed = spread_rows(batches, salts, segments, OWN)
+        yield from longer_rows((x.append_column("role", pa.array(np.full(x.num_rows, role, np.int32))) for x in keyed), distance, segments)
+        give_back()
+
+    return kinds.select(*OWN).mapInArrow(run, longer_columns(kind))
 
 
 class Crowd:
@@ -228,21 +254,27 @@ class Crowd:
                 out[some] = np.bitwise_count(folded[at[: len(some)]] ^ folded[at[len(some) :]]).sum(1, dtype=np.int64)
         return out
 
-    def candidates(self, most: int, bucket: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """(seeker, target, how far apart): of each seeker its closest `most` candidates here; if one is asked for, the
-        closest of the first `bucket` targets that hold any."""
+    def candidates(self, most: int, bucket: int, first: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        """(seeker, target, how far apart, whether there may be others): of each seeker its closest `most` candidates here.
+        first: seekers go through the targets by `bucket`, until one is clearly close, which is enough, or `most` are found."""
+        sure = (1 - self.similarity) / (1 + self.similarity) / 2
         for seekers, targets in self.meetings():
-            for j in np.array_split(targets, -(-len(targets) // bucket)) if most == 1 and len(targets) else [targets]:
+            parts = np.array_split(targets, -(-len(targets) // bucket)) if first and len(targets) else [targets]
+            for n, j in enumerate(parts):
                 found = [np.zeros(0, np.int64)]
                 for some in np.array_split(seekers, max(1, len(seekers) * len(j) >> 20)):
                     x, y, gap = self.near(some, j)
                     order = np.lexsort((y, gap, x))
                     x, y, gap = x[order], y[order], gap[order]
                     begin = np.flatnonzero(np.diff(x, prepend=-1))
-                    keep = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x)))) < most
+                    size = np.diff(np.append(begin, len(x)))
+                    wanted = np.where(gap[begin] <= sure, 1, most) if first else np.full(len(begin), most)
+                    keep = np.arange(len(x)) - np.repeat(begin, size) < np.repeat(wanted, size)
+                    enough = size >= wanted
+                    others = np.repeat((size > wanted) | enough & (n + 1 < len(parts)), size)
                     if len(x):
-                        yield x[keep], y[keep], gap[keep]
-                    found.append(x[begin])
+                        yield x[keep], y[keep], gap[keep], others[keep]
+                    found.append(x[begin[enough]])
                 seekers = np.setdiff1d(seekers, np.concatenate(found), assume_unique=True)
 
 
@@ -250,15 +282,16 @@ class Crowd:
 STEP, PAIRS = 1 << 17, 1 << 23
 
 
-def compared(rows: DataFrame, distance: int, segments: int, similarity: float, kind: str, bucket: int, most: int) -> DataFrame:
-    """(id, k, j_id, j_k, gap): of each seeker of the lists (rows of equal key and part), up to `most` candidates of its list."""
+def compared(rows: DataFrame, distance: int, segments: int, similarity: float, kind: str, bucket: int, most: int, first: bool = True) -> DataFrame:
+    """(id, k, j_id, j_k, gap, others): of each seeker of the lists (rows of equal key and part), up to `most` candidates of its
+    list, and whether it may have others there."""
 
     def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(x.num_rows for x in held) > 1:
             crowd = Crowd(pa.Table.from_batches(held).combine_chunks().to_batches()[0], segments, distance, similarity)
-            if some := list(crowd.candidates(most, bucket)):
-                i, j, gap = (pa.array(np.concatenate(x)) for x in zip(*some, strict=True))
-                yield pa.RecordBatch.from_arrays([*(x.take(at) for at in (i, j) for x in (crowd.ids, crowd.ks)), gap], names=["id", "k", "j_id", "j_k", "gap"])
+            if some := list(crowd.candidates(most, bucket, first)):
+                i, j, gap, others = (pa.array(np.concatenate(x)) for x in zip(*some, strict=True))
+                yield pa.RecordBatch.from_arrays([*(x.take(at) for at in (i, j) for x in (crowd.ids, crowd.ks)), gap, others], names=["id", "k", "j_id", "j_k", "gap", "others"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -275,7 +308,7 @@ def compared(rows: DataFrame, distance: int, segments: int, similarity: float, k
         give_back()
 
     rows = rows.select("key", "part", "start", *OWN, "role").repartition("key", "part").sortWithinPartitions("key", "part", "id", "k")
-    return rows.mapInArrow(run, f"id {kind}, k long, j_id {kind}, j_k long, gap double")
+    return rows.mapInArrow(run, f"id {kind}, k long, j_id {kind}, j_k long, gap double, others boolean")
 
 
 class Candidates:
@@ -318,32 +351,32 @@ class Candidates:
         return seekers.union(targets.select(*seekers.columns))
 
     def first(self) -> DataFrame:
-        """(id, k, j_id, j_k, gap): of each kind that has candidates, some of them."""
+        """(id, k, j_id, j_k, gap, others): of each kind that has candidates, some of them; all, if none of its rows has others."""
         keyed, alone = self.keyed(self.kinds, TARGET | SEEKER), F.lit(0).alias("part")
         crowded = self.crowded(spread(self.kinds, self.salts, self.segments, self.kind, []))
         if crowded is None:
-            return compared(keyed.select("*", alone), *self.how, 1)
-        found = compared(keyed.join(crowded, "key", "left_anti").select("*", alone), *self.how, 1)
+            return compared(keyed.select("*", alone), *self.how, ROUND)
+        found = compared(keyed.join(crowded, "key", "left_anti").select("*", alone), *self.how, ROUND)
         busy = self.keep(longer(keyed.join(crowded, "key", "left_semi"), self.distance, self.segments, self.kind), "near-busy")
         crowded = self.crowded(busy)
         if crowded is None:
-            return found.union(compared(busy.select("*", alone), *self.how, 1))
-        found = found.union(compared(busy.join(crowded, "key", "left_anti").select("*", alone), *self.how, 1))
+            return found.union(compared(busy.select("*", alone), *self.how, ROUND))
+        found = found.union(compared(busy.join(crowded, "key", "left_anti").select("*", alone), *self.how, ROUND))
         busy = busy.join(crowded, "key", "left_semi")
         seekers, targets = (busy.where(F.col("role").bitwiseAND(bit) > 0) for bit in (SEEKER, TARGET))
         # the first of a key are met by all others of it; in a dense crowd that leaves few
         heads = targets.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id", "k"))).where(F.col("n") <= self.bucket).drop("n")
-        found = self.keep(found.union(compared(self.dealt(seekers, heads), *self.how, 1)), "near-found")
+        found = self.keep(found.union(compared(self.dealt(seekers, heads), *self.how, ROUND)), "near-found")
         rest = seekers.join(found.select("id", "k").distinct(), ["id", "k"], "left_anti").select(*seekers.columns)
-        return found.union(compared(self.dealt(rest, targets), *self.how, 1))
+        return found.withColumn("others", F.lit(True)).union(compared(self.dealt(rest, targets), *self.how, ROUND))
 
     def more(self, left: DataFrame, most: int) -> DataFrame:
         """(id, k, j_id, j_k, gap): of each kind of left(id, k), its closest `most` candidates and some others."""
-        seekers = longer(self.keyed(self.kinds.join(left, ["id", "k"], "left_semi"), SEEKER), self.distance, self.segments, self.kind)
-        seekers = self.keep(seekers, "near-seekers")
+        how = (self.salts, self.distance, self.segments, self.kind)
+        seekers = self.keep(spread_longer(self.kinds.join(left, ["id", "k"], "left_semi"), SEEKER, *how), "near-seekers")
         asked = self.keep(seekers.select("key").distinct(), "near-asked")
-        targets = longer(self.keyed(self.kinds, TARGET), self.distance, self.segments, self.kind).join(asked, "key", "left_semi")
-        return compared(self.dealt(seekers, targets), *self.how, most)
+        targets = spread_longer(self.kinds, TARGET, *how).join(asked, "key", "left_semi")
+        return compared(self.dealt(seekers, targets), *self.how, most, False).drop("others")
 
     def drop(self) -> None:
         for x in self.tables:
@@ -391,13 +424,19 @@ def similar_kinds(docs: DataFrame, kinds: DataFrame, similarity: float, words: i
     """Tables of (id, k) of the kinds(id, k, fps, size, bits) that are similar to a candidate before them."""
     kind, spark = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession
     candidates = Candidates(kinds, kinds.count(), salts, distance, segments, similarity, bucket, kind)
-    first = candidates.first().groupBy("id", "k").agg(F.min(F.struct("gap", "j_id", "j_k")).alias("j"))
-    pairs = cut(first.select("id", "k", "j.j_id", "j.j_k"), "near-pairs")
-    del first
+    met = cut(candidates.first(), "near-met")
     candidates.drop()
     free(spark)
-    gone = [verified(docs, pairs, similarity, words, kind)]
-    left = cut(pairs.select("id", "k").join(gone[0], ["id", "k"], "left_anti"), "near-left")
+    first = met.groupBy("id", "k").agg(F.min(F.struct("gap", "j_id", "j_k")).alias("j"), F.max("others").alias("others"))
+    pairs = cut(first.select("id", "k", "j.j_id", "j.j_k", "others"), "near-pairs")
+    gone = [verified(docs, pairs.drop("others"), similarity, words, kind)]
+    unlike = cut(pairs.join(gone[0], ["id", "k"], "left_anti"), "near-unlike")
+    if not unlike.isEmpty():
+        own = ["id", "k", "j_id", "j_k"]
+        rest = cut(met.select(own).join(unlike.select("id", "k"), ["id", "k"], "left_semi").join(unlike.select(own), own, "left_anti"), "near-rest")
+        gone.append(verified(docs, rest, similarity, words, kind))
+        drop(rest)
+    left = cut(reduce(lambda x, y: x.join(y, ["id", "k"], "left_anti"), gone[1:], unlike.where("others").select("id", "k")), "near-left")
     before, most = 0, ROUND
     while not left.isEmpty():
         ranked = candidates.more(left, most).withColumn("n", F.row_number().over(Window.partitionBy("id", "k").orderBy("gap", "j_id", "j_k")))
@@ -410,13 +449,13 @@ def similar_kinds(docs: DataFrame, kinds: DataFrame, similarity: float, words: i
         drop(left)
         drop(found)
         left, before, most = after, most, most * ROUND
-    for x in (pairs, left):
+    for x in (met, pairs, unlike, left):
         drop(x)
     free(spark)
     return gone
 
 
-#: How many candidates the kinds that are left meet in a round, and how many times more in the next.
+#: How many candidates a list gives a kind, how many the kinds that are left meet in a round, and how many times more in the next.
 ROUND = 16
 
 

@@ -153,3 +153,25 @@ def test_pairs_are_made_once(spark):
     pairs = [(r.id, r.j_id) for r in found.more(kinds.select("id", "k"), 100).collect()]
     want = {(i, j) for i, j in similar_pairs(list(enumerate(texts))) if min((int(a) ^ int(b)).bit_count() for a, b in zip(*(near.prints(near.word_hashes(texts[x], {}), near.SALTS) for x in (i, j)), strict=True)) <= 7}
     assert len(pairs) == len(set(pairs)) and want <= set(pairs)
+
+
+def test_few_candidates_are_looked_up_once(spark, monkeypatch):
+    """Kinds that are not similar to their closest candidate meet the others of their lists, which hold fewer than a round."""
+
+    def more(*_):
+        raise AssertionError("looked up again")
+
+    monkeypatch.setattr(near.Candidates, "more", more)
+    rng = random.Random(5)
+    texts = [t for _ in range(8) for t in family(rng, 14)]
+    rng.shuffle(texts)
+    assert left(spark, texts) == brute(list(enumerate(texts)))
+
+
+def test_further_rounds_take_one_python_worker_a_task(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame(list(enumerate(family(rng, 12))), "doc_id long, text string")
+    kinds = near.cut(near.text_prints(docs, near.SALTS, 5).withColumnRenamed("doc_id", "id"), "t")
+    met = near.Candidates(kinds, 12, near.SALTS, 7, 8, 0.8, 4096, "bigint").more(kinds.select("id", "k"), 16)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the targets, and behind a shuffle the lists; two in a row were three
