@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, cut, give_back, new_path, read_bytes, write_bytes
+from .shared import chunks, cut, give_back, new_path, read_bytes, small_batches, write_bytes
 from .tiles import Library, Tiles
 
 MAGIC = b"RPG2"
@@ -60,7 +60,9 @@ def worker_tiles(path: str) -> Tiles:
 
 def slots(codes: np.ndarray) -> np.ndarray:
     """Place of each pair code in a table of 2 ** _SLOT_BITS."""
-    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+    out = codes * np.uint64(0x9E3779B97F4A7C15)
+    out >>= np.uint64(64 - _SLOT_BITS)
+    return out.view(np.int64)
 
 
 def choose(often: np.ndarray) -> np.ndarray:
@@ -96,7 +98,9 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, *, least: int = LEA
     rules, size = [np.zeros((0, 2), np.int64)], base
     at = np.flatnonzero(after >= 0).astype(np.int32)
     while len(at):
-        code = token[at].astype(np.uint64) << np.uint64(32) | token[after[at]]
+        code = token[at].astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= token[after[at]]
         runs = np.sort(code)
         begin = np.concatenate([[0], np.flatnonzero(runs[1:] != runs[:-1]) + 1])
         counts = np.diff(begin, append=len(runs))
@@ -104,6 +108,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, *, least: int = LEA
         if not len(often):
             break
         often = runs[begin[often[np.argsort(-counts[often], kind="stable")]]]
+        del runs, begin, counts  # each is as long as the shard
         made = choose(often)
         slot = slots(code)
         warm, number = np.zeros(1 << _SLOT_BITS, bool), np.zeros(1 << _SLOT_BITS, np.int32)
@@ -111,8 +116,10 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, *, least: int = LEA
         number[slots(made)] = np.arange(len(made))
         near = np.flatnonzero(warm[slot])  # every place of a frequent pair, and a few others
         at, code, own = at[near], code[near], number[slot[near]]
+        del slot, near
         hit = made[own] == code
         p, own = at[hit], own[hit]
+        del code
         q = after[p]
         if len(p) > 1 and (chained := q[:-1] == p[1:]).any():  # runs of one id: every second place, from the left
             along = np.arange(len(p))
@@ -283,7 +290,8 @@ def read(manifest: DataFrame) -> DataFrame:
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str, *, end_id: int = 0) -> DataFrame:
     """Write the shards and read them back: (doc_id, start, n_tokens, ids_crc32)."""
-    manifest = cut(write(docs, path, new_path(spark, "token-ids"), end_id=end_id), "token-ids-manifest")
+    with small_batches(spark):
+        manifest = cut(write(docs, path, new_path(spark, "token-ids"), end_id=end_id), "token-ids-manifest")
     return read(manifest).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

@@ -58,14 +58,14 @@ class Flat:
     """Sequences laid out one after another in a growing array."""
 
     def __init__(self, kind: type):
-        self.data, self.starts, self.size, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.data, self.starts, self.size, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), 0
 
     def extend(self, data: np.ndarray, size: np.ndarray) -> None:
         at = int(self.starts[self.n - 1] + self.size[self.n - 1]) if self.n else 0
         while at + len(data) > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros(len(self.data), self.data.dtype)])
+            self.data = twice(self.data)
         while self.n + len(size) > len(self.starts):
-            self.starts, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.size))
+            self.starts, self.size = twice(self.starts), twice(self.size)
         self.data[at : at + len(data)] = data
         self.size[self.n : self.n + len(size)] = size
         self.starts[self.n : self.n + len(size)] = at + np.cumsum(size) - size
@@ -75,10 +75,18 @@ class Flat:
         return pick(self.data, self.starts[which], self.size[which])
 
 
+def twice(x: np.ndarray) -> np.ndarray:
+    """x with as much room again, which takes no memory until it is written."""
+    out = np.empty(2 * len(x), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 def pick(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """data[start : start + size] of each, one after another."""
-    shift = starts - (np.cumsum(size) - size)
-    return data[np.repeat(shift, size) + np.arange(int(size.sum()))]
+    at = np.repeat(starts - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return data[at]
 
 
 class Tiles:
@@ -171,9 +179,13 @@ class Tiles:
 
     def block(self, data: np.ndarray, edges: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
         """ids of the tiles between the edges and where each begins among them; tiles to skip have none. None: hashes have met."""
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * _power(_P, len(data)))])
+        total, x = np.zeros(len(data) + 1, np.uint64), _BYTES[data]
+        x *= _power(_P, len(data))
+        np.cumsum(x, out=total[1:])
+        del x
         a, b = edges[:-1][~skip], edges[1:][~skip]
         h = mix((total[b] - total[a]) * _power(_INVERSE, len(data))[a] ^ (b - a).astype(np.uint64)) | np.uint64(1)
+        del total
         which = self.find(h)
         if len(missed := np.flatnonzero(which < 0)):
             new, first = np.unique(h[missed], return_index=True)

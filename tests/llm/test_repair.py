@@ -7,10 +7,12 @@ from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from credence.llm import repair
+from credence.llm.shared import small_batches
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -83,3 +85,26 @@ def test_odd_texts_and_tables(spark):
     assert repair.round_trip(spark, df.limit(0), PATH).collect() == []
     twice = repair.round_trip(spark, df.where("doc_id = 9").union(df.where("doc_id = 9")), PATH).collect()
     assert {r.start for r in twice} == {0, twice[0].n_tokens} and len({r.ids_crc32 for r in twice}) == 1
+
+
+def test_compression_holds_few_copies_of_a_shard():
+    """Peak of the arrays that numpy holds while a shard is compressed, in bytes an id."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n = 400_000
+    ids = (rng.zipf(1.3, n) % 50_000).astype(np.uint32)
+    tracemalloc.start()
+    repair.compress(ids, np.arange(0, n + 1, 1000), 50_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / n < 70  # 63; it was 76
+
+
+def test_writing_leaves_the_batch_size_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with small_batches(spark, 7):
+        docs = spark.range(100).repartition(1)
+        seen = [r.n for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([x.num_rows])], names=["n"]) for x in batches), "n long").collect()]
+    assert max(seen) == 7 and sum(seen) == 100 and spark.conf.get(key) == before
