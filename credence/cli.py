@@ -10,6 +10,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import re
 import sys
 import time
 from collections.abc import Iterator
@@ -90,7 +91,8 @@ def show(rows: DataFrame) -> None:
 
 def run_ingest(store: Store, topic: str, a: argparse.Namespace) -> int:
     batch = read_batch(store.spark, a.file)
-    errors = ingest.validate(batch).collect()  # of one document
+    place = lambda e: (not e["place"].startswith("sources"), [int(x) for x in re.findall(r"\d+", e["place"])])
+    errors = sorted(ingest.validate(batch).collect(), key=place)  # of one document
     if errors:
         for e in errors:
             print(f"{e['place']}: {e['message']}", file=sys.stderr)

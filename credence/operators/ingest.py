@@ -1,7 +1,13 @@
-"""Candidate batches: validation that reports every error, and the events of a valid batch."""
+"""Candidate batches: validation that reports every error, and the events of a valid batch.
+
+A batch is a table of documents, one in a row, or a Batch of their sources and claims in rows of their own. Aliases are
+resolved by joins, so no row but a document that came as one holds more than one claim.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +29,20 @@ def _triple(dep: Column) -> Column:
     return F.from_json(dep, "s STRING, p STRING, o STRING")
 
 
-def claim_rows(batch: DataFrame) -> DataFrame:
-    """(i, c): the claims of a batch document, numbered."""
-    return batch.select("sources", F.posexplode("claims").alias("i", "c"))
+class Batch(NamedTuple):
+    """Documents in parts: docs(doc, agent_run), sources(doc, i, s) and claims(doc, i, c). i ascends in a document and may have gaps."""
+
+    docs: DataFrame
+    sources: DataFrame
+    claims: DataFrame
+
+
+def in_parts(batch: DataFrame | Batch) -> Batch:
+    """Documents of one row each are numbered and written once, since their numbers are no property of the rows."""
+    if isinstance(batch, Batch):
+        return batch
+    docs = cut(batch.withColumn("doc", F.monotonically_increasing_id()), "batch")
+    return Batch(docs.select("doc", "agent_run"), docs.select("doc", F.posexplode("sources").alias("i", "s")), docs.select("doc", F.posexplode("claims").alias("i", "c")))
 
 
 def hint(x: Column) -> Column:
@@ -34,8 +51,8 @@ def hint(x: Column) -> Column:
     return F.coalesce(F.concat(F.lit(" (did you mean "), found, F.lit("?)")), F.lit(""))
 
 
-def claim_errors(c: Column, source_aliases: Column, claim_aliases: Column) -> Column:
-    """The messages of every rule that a claim breaks, as an array."""
+def claim_errors(c: Column) -> Column:
+    """The messages of every rule that a claim breaks by itself, as an array."""
     tests = [
         (F.coalesce(_blank(c["assertion"]["s"]) | _blank(c["assertion"]["p"]) | _blank(c["assertion"]["o"]), F.lit(True)), F.lit("assertion: s, p and o are required")),
         (_blank(c["warrant"]), F.lit("warrant: required")),
@@ -52,14 +69,12 @@ def claim_errors(c: Column, source_aliases: Column, claim_aliases: Column) -> Co
     none = F.array().cast("array<string>")
 
     def source_error(e: Column) -> Column:
-        missing = e["source"].startswith("@") & ~F.array_contains(source_aliases, e["source"])
-        return F.when(_blank(e["source"]), F.lit("evidence: a source is required")).when(missing, F.concat(F.lit("evidence: unresolved alias "), e["source"]))
+        return F.when(_blank(e["source"]), F.lit("evidence: a source is required"))
 
     def parent_error(d: Column) -> Column:
-        named = F.when(~F.array_contains(claim_aliases, d), F.concat(F.lit("depends_on: unresolved alias "), d))
         t = _triple(d)
         broken = F.coalesce(_blank(t["s"]) | _blank(t["p"]) | _blank(t["o"]), F.lit(True))
-        return F.when(d.startswith("@"), named).when(~d.startswith("clm_") & broken, F.concat(F.lit("depends_on: no alias, id or triple: "), d))
+        return F.when(~d.startswith("@") & ~d.startswith("clm_") & broken, F.concat(F.lit("depends_on: no alias, id or triple: "), d))
 
     no_evidence = F.array().cast("array<struct<source:string,quote:string,locator:string>>")
     cited = F.transform(F.coalesce(c["evidence"], no_evidence), source_error)
@@ -67,21 +82,26 @@ def claim_errors(c: Column, source_aliases: Column, claim_aliases: Column) -> Co
     return F.concat(flat, F.array_compact(cited), F.array_compact(deps))
 
 
-def validate(batch: DataFrame) -> DataFrame:
-    """(place, message) of every error of a batch document; no row means that it is valid."""
-    none = F.array().cast("array<string>")
-    aliases = lambda x: F.array_compact(F.coalesce(F.transform(x, lambda s: s["alias"]), none))
-    known = batch.withColumns({"sa": aliases(F.col("sources")), "ca": aliases(F.col("claims"))})
-    source = known.select(F.posexplode("sources").alias("i", "s")).select(
-        F.concat(F.lit("sources["), F.col("i").cast("string"), F.lit("]")).alias("place"),
-        F.explode(F.array_compact(F.array(F.when(_blank(F.col("s.uri")), F.lit("uri: required")), F.when(F.col("s.authority").isNotNull() & F.col("s.authority").try_cast("double").isNull(), F.lit("authority: a number is required"))))).alias("message"),
-    )
-    claims = known.select("sa", "ca", F.posexplode("claims").alias("i", "c")).select(F.concat(F.lit("claims["), F.col("i").cast("string"), F.lit("]")).alias("place"), F.explode(claim_errors(F.col("c"), F.col("sa"), F.col("ca"))).alias("message"))
-    empty = known.where(F.coalesce(F.size("claims"), F.lit(0)) <= 0).select(F.lit("claims").alias("place"), F.lit("a non-empty array is required").alias("message"))
-    return source.union(claims).union(empty)
-
-
-def events(batch: DataFrame, state: State, topic: str, run_id: str, first_seq: int = 1) -> DataFrame:
+def unresolved(field: str, refs: DataFrame, named: DataFrame) -> DataFrame:
+    """(i, message) for each of refs(doc, i, ref) that is an alias without its like in named(doc, ref)."""
+    alias = F.col("ref").startswith("@")
+    return refs.where(alias).join(named.where(alias), ["doc", "ref"], "left_anti").select("i", F.concat(F.lit(f"{field}: unresolved alias "), "ref").alias("message"))
+
+
+def validate(batch: DataFrame | Batch) -> DataFrame:
+    """(place, message) of every error of batch documents; no row means that they are valid."""
+    b = in_parts(batch)
+    place = lambda kind, rows: rows.select(F.concat(F.lit(f"{kind}["), F.col("i").cast("string"), F.lit("]")).alias("place"), "message")
+    source = b.sources.select("i", F.explode(F.array_compact(F.array(F.when(_blank(F.col("s.uri")), F.lit("uri: required")), F.when(F.col("s.authority").isNotNull() & F.col("s.authority").try_cast("double").isNull(), F.lit("authority: a number is required"))))).alias("message"))
+    own = b.claims.select("i", F.explode(claim_errors(F.col("c"))).alias("message"))
+    cited = b.claims.select("doc", "i", F.explode("c.evidence").alias("e")).select("doc", "i", F.col("e.source").alias("ref"))
+    deps = b.claims.select("doc", "i", F.explode("c.depends_on").alias("ref"))
+    errors = own.union(unresolved("evidence", cited, b.sources.select("doc", F.col("s.alias").alias("ref")))).union(unresolved("depends_on", deps, b.claims.select("doc", F.col("c.alias").alias("ref"))))
+    empty = b.docs.select("doc").join(b.claims.select("doc").distinct(), "doc", "left_anti").select(F.lit("claims").alias("place"), F.lit("a non-empty array is required").alias("message"))
+    return place("sources", source).union(place("claims", errors)).union(empty)
+
+
+def events(batch: DataFrame | Batch, state: State, topic: str, run_id: str, first_seq: int = 1) -> DataFrame:
     """Log rows of valid batch documents, one document after another: the run, the sources, then each claim that is new
     followed by its new evidence.
 
@@ -89,19 +109,19 @@ def events(batch: DataFrame, state: State, topic: str, run_id: str, first_seq: i
     claim that exists is skipped but its evidence is added; a claim that the batch holds twice is created twice, which the
     fold undoes; evidence that it repeats is added once. Documents without a run of their own are attributed to none.
     """
-    docs = cut(batch.withColumn("doc", F.monotonically_increasing_id()), "batch")
+    b = in_parts(batch)
     own_run = F.when(F.col("agent_run").isNotNull(), F.coalesce("agent_run.run_id", F.lit(run_id)))
-    docs = docs.withColumn("own_run", own_run)
+    docs = b.docs.withColumn("own_run", own_run)
     run = docs.where("own_run IS NOT NULL").select(
         "doc", F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit("agent_run_started").alias("event"),
         F.col("own_run").alias("run_id"), "agent_run.role", "agent_run.model", "agent_run.task",
     )
-    listed = docs.select("doc", F.posexplode("sources").alias("o2", "s"))
+    listed = b.sources.withColumnRenamed("i", "o2")
     sources = listed.select(
         "doc", F.lit(1).alias("o1"), "o2", F.lit("source_registered").alias("event"), fn.source_id(F.col("s.uri")).alias("source_id"),
         "s.uri", "s.title", "s.origin", F.col("s.authority").try_cast("double").alias("authority"), "s.credibility", "s.retrieved_at",
     )
-    ids = docs.select("doc", F.posexplode("claims").alias("i", "c")).withColumn("claim_id", claim_key(topic))
+    ids = b.claims.withColumn("claim_id", claim_key(topic))
     parents = resolved_parents(ids, topic).groupBy("doc", "i").agg(F.sort_array(F.collect_list(F.struct("j", "dep_id"))).alias("deps"))
     none = F.array().cast("array<string>")
     new = ids.join(state.claims.select("claim_id"), "claim_id", "left_anti").join(parents, ["doc", "i"], "left")
