@@ -6,6 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,39 +94,62 @@ def similar(strings: DataFrame, threshold: float) -> DataFrame:
     return scored.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "sim")
 
 
-#: Vectors compared with each other in one task.
-BLOCK = 1024
+#: Vectors of a tile, which is a file; and rows of a tile that are multiplied at once.
+TILE, STRIP = 4096, 512
 
 
 def close(vectors: DataFrame, threshold: float) -> DataFrame:
     """(a, b, sim) of all pairs a < b of distinct strings in vectors(n, v) whose cosine is at least the threshold.
 
-    No filter bounds cosines of any vectors, so all are compared, but in blocks: a row goes to as many tasks as there are
-    blocks, each task multiplies two of them, and only the pairs that count come out. A null or zero vector has cosine 0.
+    No filter bounds cosines of any vectors, so all are compared, but no vector is shuffled for it: they are written once,
+    sorted by n, as files of bounded size, and the tasks that multiply two of these files read them from the shared folder.
+    Time is quadratic, what is moved is linear but for the answer. A null or zero vector has cosine 0.
     """
-    rows = cut(vectors.where("n IS NOT NULL AND v IS NOT NULL").groupBy("n").agg(F.min(F.col("v").cast("array<double>")).alias("v")), "vectors")
-    blocks = max(1, -(-rows.count() // BLOCK))
-    own = F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "n", "v")
-    tasks = dealt.groupBy("x", "y").agg(F.collect_list("own").alias("own"), F.collect_list("n").alias("n"), F.collect_list("v").alias("v"))
+    spark = vectors.sparkSession
+    kind = vectors.schema["v"].dataType.simpleString()
+    v = F.col("v") if kind in ("array<float>", "array<double>") else F.col("v").cast("array<double>")
+    rows = cut(vectors.where("n IS NOT NULL AND v IS NOT NULL").groupBy("n").agg(F.min(v).alias("v")).orderBy("n"), "vectors", rows_per_file=TILE)
+    files = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("n").alias("n")).collect()  # a row for each tile
+    tiles = [f"{rows._credence_path}/{f['file']}" for f in sorted(files, key=lambda f: f["n"])]
+    pairs = len(tiles) * (len(tiles) + 1) // 2
+    slots = spark.sparkContext.defaultParallelism
+    todo = spark.range(0, pairs, 1, max(1, min(pairs, max(8 * slots, pairs // 8))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = np.cumsum([0, *range(len(tiles), 0, -1)])  # pairs are numbered by their first tile
+        at, left = -1, None
         for batch in batches:
-            for x, y, own, n, v in zip(*(batch.column(c) for c in ("x", "y", "own", "n", "v")), strict=True):
-                block, names = own.values.to_numpy(), np.array(n.as_py(), object)
-                matrix = np.array(v.as_py(), float)
-                size = np.linalg.norm(matrix, axis=1, keepdims=True)
-                unit = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
-                left, right = np.flatnonzero(block == x.as_py()), np.flatnonzero(block == y.as_py())
-                sims = np.clip(unit[left] @ unit[right].T, 0, 1)
-                i, j = np.nonzero(sims >= threshold)
-                i, j, sims = left[i], right[j], sims[i, j]
-                keep = names[i] < names[j] if x.as_py() == y.as_py() else np.ones(len(i), bool)
-                a, b = np.minimum(names[i[keep]], names[j[keep]]), np.maximum(names[i[keep]], names[j[keep]])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(sims[keep])], names=["a", "b", "sim"])
-
-    return tasks.mapInArrow(run, "a string, b string, sim double")
+            for pair in batch.column(0).to_pylist():
+                x = int(np.searchsorted(starts, pair, side="right")) - 1
+                y = x + pair - int(starts[x])
+                if x != at:
+                    at, left = x, unit_vectors(tiles[x])
+                right = left if y == x else unit_vectors(tiles[y])
+                if left[1].shape[1] != right[1].shape[1]:
+                    raise ValueError("vectors of different lengths")
+                for start in range(0, len(left[0]), STRIP):
+                    sims = left[1][start : start + STRIP] @ right[1].T
+                    np.clip(sims, 0, 1, out=sims)
+                    i, j = np.nonzero(sims >= threshold)
+                    if x == y:
+                        later = j > i + start
+                        i, j = i[later], j[later]
+                    names = [side.take(pa.array(k)) for side, k in ((left[0], i + start), (right[0], j))]
+                    yield pa.RecordBatch.from_arrays([*names, pa.array(sims[i, j])], names=["a", "b", "sim"])
+
+    return todo.mapInArrow(run, "a string, b string, sim double")
+
+
+def unit_vectors(uri: str) -> tuple[pa.Array, np.ndarray]:
+    """The names of a tile and its vectors, of length 1 or 0."""
+    store, path = fs.FileSystem.from_uri(uri)
+    table = pq.read_table(path, columns=["n", "v"], filesystem=store, partitioning=None).combine_chunks()
+    n, v = (table.column(c).chunk(0) for c in ("n", "v"))
+    if len(pc.unique(pc.list_value_length(v))) > 1:
+        raise ValueError("vectors of different lengths")
+    matrix = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(n), -1)
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return n, np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
 
 def both_ways(pairs: DataFrame, strings: DataFrame) -> DataFrame:

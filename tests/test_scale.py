@@ -1,10 +1,11 @@
 """What must not grow with the tables: rows that hold a whole document, and what is moved."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from credence.operators import ingest
+from credence.operators import conflicts, ingest
 from credence.schema import BATCH
 from credence.starschema import log_of
 from credence.plans import State
@@ -37,3 +38,25 @@ def test_documents_in_parts_keep_their_aliases_apart(spark):
     assert [r.event for r in rows if r.event != "evidence_added"] == ["source_registered", *["claim_created"] * 4]
     made = {r.assertion.s: r for r in rows if r.event == "claim_created"}
     assert made["a1"].depends_on[0] == made["a2"].claim_id and [r.assertion.s for r in rows if r.event == "claim_created"] == ["a1", "a2", "a3", "a4"]
+
+
+def test_vectors_are_compared_over_tiles_and_not_shuffled_for_it(spark, monkeypatch):
+    """Against all pairs at once, with small tiles, repeated names, zero and null vectors."""
+    rng = np.random.default_rng(3)
+    rows = [(f"n{i:03}", [float(x) for x in rng.normal(size=4)]) for i in rng.permutation(60)]
+    rows += [("n000", [0.0, 0.0, 0.0, 0.0]), ("zero", [0.0] * 4), ("null", None), (None, [1.0] * 4)]
+    monkeypatch.setattr(conflicts, "TILE", 7)
+    monkeypatch.setattr(conflicts, "STRIP", 3)
+    got = conflicts.close(spark.createDataFrame(rows, "n string, v array<double>"), 0.3)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    least = {}
+    for n, v in rows:
+        if n is not None and v is not None:
+            least[n] = min(v, least.get(n, v))
+    unit = {n: np.divide(v, np.linalg.norm(v) or 1) for n, v in least.items()}
+    want = {(a, b): float(unit[a] @ unit[b]) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.3}
+    found = {(r.a, r.b): r.sim for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want) and len(want) > 100
+    assert conflicts.close(spark.createDataFrame([], "n string, v array<float>"), 0.3).collect() == []
+    with pytest.raises(Exception, match="different lengths"):
+        conflicts.close(spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "n string, v array<double>"), 0.3).collect()
