@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import ALIASES
 
-_ASCII = r"^[\x00-\x7F]*$"
+_SPACE = r"[\s\x1c-\x1f]"
 _FOLD = "com.ibm.icu.lang.UCharacter"
 _NFC = "com.ibm.icu.text.Normalizer"
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
@@ -19,10 +19,11 @@ def normalize(x: Column) -> Column:
     ASCII takes a path inside generated code; other texts call ICU, which Catalyst treats as nondeterministic: project the
     result before joining on it.
     """
-    plain = F.btrim(F.regexp_replace(F.lower(x), r"[\s\x1c-\x1f]+", " "))
+    ascii_only = F.is_valid_utf8(x) & (F.octet_length(x) == F.length(x))
+    plain = F.when(x.rlike(_SPACE), F.btrim(F.regexp_replace(F.lower(x), f"{_SPACE}+", " "))).otherwise(F.lower(x))
     folded = F.reflect(F.lit(_FOLD), F.lit("foldCase"), F.reflect(F.lit(_NFC), F.lit("compose"), x, F.lit(False)), F.lit(True))
-    other = F.trim(F.regexp_replace(folded, r"(?U)[\s\x1c-\x1f]+", " "))
-    return F.when(x.isNull(), F.lit("")).when(x.rlike(_ASCII), plain).otherwise(other)
+    other = F.trim(F.regexp_replace(folded, f"(?U){_SPACE}+", " "))
+    return F.when(x.isNull(), F.lit("")).when(ascii_only, plain).otherwise(other)
 
 
 def token_set(normal: Column) -> Column:

@@ -37,9 +37,12 @@ class State:
         self.log = log if as_of is None else log.where(F.col("t_created") <= as_of)
 
     def shared(self) -> State:
-        """A state of the same log whose tables are folded once and written to the shared folder, for many rules over them."""
+        """A state of the same log whose tables are folded once and written to the shared folder, for many rules over them.
+
+        Of the evidence, which the rules don't read whole, the pairs that it cites are written.
+        """
         other = State(self.log)
-        for name in ("claims", "sources", "evidence", "edges", "threads"):
+        for name in ("claims", "sources", "cited", "edges", "threads"):
             setattr(other, name, cut(getattr(self, name), f"state-{name}"))
         return other
 
@@ -111,8 +114,16 @@ class State:
     @cached_property
     def evidence(self) -> DataFrame:
         """Evidence; the first row of an id wins."""
-        rows = self.only("evidence_added").groupBy("evidence_id").agg(F.min_by(F.struct("claim_id", "source_id", "quote", "locator"), "seq").alias("r"))
-        return rows.select("evidence_id", "r.*")
+        return self._first_evidence("claim_id", "source_id", "quote", "locator").select("evidence_id", "r.*")
+
+    @cached_property
+    def cited(self) -> DataFrame:
+        """(claim_id, source_id): the distinct pairs of the evidence table, without its other columns."""
+        return self._first_evidence("claim_id", "source_id").select("r.*").distinct()
+
+    def _first_evidence(self, *columns: str) -> DataFrame:
+        """(evidence_id, r): the columns of the first row of an id. The hash is a key only because numbers sort faster than texts."""
+        return self.only("evidence_added").groupBy(F.xxhash64("evidence_id"), "evidence_id").agg(F.min_by(F.struct(*columns), "seq").alias("r"))
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -50,7 +50,8 @@ def part_claims(part: DataFrame) -> DataFrame:
 
 def parts(spark: SparkSession, sf_dir: str) -> State:
     part = table(spark, sf_dir, "part")
-    rows, size = part_claims(part), F.col("p_size")
+    # a few small files hold all parts, and folding their claims is work for all cores
+    rows, size = part_claims(part.repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")), F.col("p_size")
     none, day = F.array().cast("array<string>"), F.lit("2024-01-01 00:00:00").cast("timestamp")
     claims = rows.select(
         "seq", F.lit("claim_created").alias("event"), F.lit("parts").alias("topic"), day.alias("t_created"), "claim_id", F.struct("s", "p", "o", F.lit(None).cast("string").alias("nl")).alias("assertion"),

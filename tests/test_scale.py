@@ -1,11 +1,14 @@
 """What must not grow with the tables: rows that hold a whole document, and what is moved."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from credence.operators import conflicts, ingest
+from credence import functions as fn
+from credence.operators import conflicts, guard, ingest
 from credence.schema import BATCH
 from credence.starschema import log_of
 from credence.plans import State
@@ -60,3 +63,22 @@ def test_vectors_are_compared_over_tiles_and_not_shuffled_for_it(spark, monkeypa
     assert conflicts.close(spark.createDataFrame([], "n string, v array<float>"), 0.3).collect() == []
     with pytest.raises(Exception, match="different lengths"):
         conflicts.close(spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "n string, v array<double>"), 0.3).collect()
+
+
+def test_cited_pairs_are_those_of_the_evidence_and_written_in_its_place(spark):
+    rng = random.Random(5)
+    rows = [(i, "evidence_added", rng.choice([None, "", *map(str, range(60))]), rng.choice([None, *"abc"]), rng.choice([None, *"xyz"])) for i in rng.sample(range(1000), 200)]
+    rows += [(2000 + i, "evidence_added", f"own{i}", "d", f"s{i}") for i in range(20)]
+    log = log_of(spark, spark.createDataFrame(rows, "seq long, event string, evidence_id string, claim_id string, source_id string"))
+    state = State(log)
+    pairs = sorted(map(tuple, state.evidence.select("claim_id", "source_id").distinct().collect()), key=str)
+    assert sorted(map(tuple, state.cited.collect()), key=str) == pairs
+    shared = state.shared()
+    assert "evidence" not in vars(shared) and sorted(map(tuple, shared.cited.collect()), key=str) == pairs
+    assert "evidence_id" not in plan(guard.authoritative(shared).union(guard.authoritative(shared)))
+
+
+def test_normalize_takes_no_line_end_for_ascii(spark):
+    texts = ["", " A\t\nB\x1c ", "AB", "a\u2028", "\u0085x Y", "Stra\u00dfe", "\u00c9 e\u0301"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", fn.normalize(F.col("x")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == ["", "a b", "ab", "a", "x y", "strasse", "\u00e9 \u00e9"]
